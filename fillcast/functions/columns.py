@@ -44,6 +44,13 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over the pairs where both are known; NULL for a constant column."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 # -- cleaning -----------------------------------------------------------------
 
 def leading_number(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillcast.config import DEFAULTS, Settings
+from fillcast.functions.columns import correlation
 from fillcast.operators.ordered import exact_quantile, global_running_sums
 
 SMAPE_EPSILON = 1e-8
@@ -400,7 +401,7 @@ def trial_progress(trials: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def parameter_sensitivity(trials: DataFrame, parameters: list[str]) -> DataFrame:
     """|correlation| of each numeric parameter with the trial value."""
-    row = trials.agg(*[F.abs(F.corr(p, "value")).alias(p) for p in parameters])
+    row = trials.agg(*[F.abs(correlation(F.col(p), F.col("value"))).alias(p) for p in parameters])
     pairs = F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).alias("abs_corr")) for p in parameters])
     return row.select(F.inline(pairs)).filter(F.col("abs_corr").isNotNull())
 

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fillcast.config import DEFAULTS, Settings
-from fillcast.functions.columns import flag, null_outside
+from fillcast.functions.columns import correlation, flag, null_outside
 from fillcast.operators.cleaning import TEMPERATURE_RANGE
 from fillcast.operators.emptying import KEY, time_order
 from fillcast.operators.ordered import (
@@ -434,3 +435,65 @@ def weather_named(columns: list[str], terms: tuple[str, ...] = WEATHER_TERMS) ->
 
 def drop_weather_named(df: DataFrame) -> DataFrame:
     return df.drop(*weather_named(df.columns))
+
+
+# -- impact analysis --------------------------------------------------------------
+
+IMPACT_TERMS = WEATHER_TERMS[:9]
+MIN_IMPACT_PAIRS = 100
+SIGNIFICANT = 0.05
+
+
+def weather_impact(df: DataFrame, target: str = "target") -> DataFrame:
+    """Pearson correlation with the target for every weather column with over 100 pairs.
+
+    One aggregate computes all of them; its single row is turned into one row per column.
+    The p-value is the normal tail of the t statistic, which over 100 pairs justify.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    names = [c for c in weather_named(df.columns, IMPACT_TERMS) if isinstance(types[c], T.NumericType)]
+    both = lambda c: F.col(c).isNotNull() & F.col(target).isNotNull()
+    aggregates = []
+    for i, c in enumerate(names):
+        x = F.when(both(c), F.col(c).cast("double"))
+        aggregates += [F.count(x).alias(f"n{i}"), correlation(x, F.col(target)).alias(f"r{i}")]
+    row = df.agg(*aggregates)
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("correlation"))
+                     for i, c in enumerate(names)])
+    r, n = F.col("correlation"), F.col("n")
+    out = row.select(F.inline(rows)).filter((n > MIN_IMPACT_PAIRS) & r.isNotNull() & ~F.isnan(r))
+    t = F.abs(r) * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-15)))
+    out = out.withColumn("p_value", _normal_tail(t))
+    return out.withColumn("significant", F.col("p_value") < SIGNIFICANT)
+
+
+def _normal_tail(t: Column) -> Column:
+    """2 (1 - Phi(t)) for t >= 0, with a relative error below 1.2e-7 (Chebyshev fit of erfc)."""
+    z = t / math.sqrt(2.0)
+    k = 1.0 / (1.0 + 0.5 * z)
+    # Coefficients of the published fit.
+    series = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
+              0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    total = F.lit(series[-1])
+    for c in reversed(series[:-1]):
+        total = total * k + F.lit(c)
+    return k * F.exp(-z * z + total)
+
+
+def weather_groups(df: DataFrame, target: str = "target") -> DataFrame:
+    """Mean, deviation and count of the target in cold/warm/hot and in dry/rainy rows."""
+    y = F.col(target)
+    groups: list[tuple[str, str, Column]] = []
+    if {"temp_cold", "temp_warm"} <= set(df.columns):
+        groups += [("temperature", n, F.col(c) == 1) for n, c in (("Cold", "temp_cold"), ("Warm", "temp_warm"), ("Hot", "temp_hot"))
+                   if c in df.columns]
+    if "is_raining" in df.columns:
+        groups += [("rain", n, F.col("is_raining") == v) for n, v in (("Dry", 0), ("Rainy", 1))]
+    aggregates = []
+    for i, (_, _, hit) in enumerate(groups):
+        v = F.when(hit, y)
+        aggregates += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.count_if(hit).alias(f"n{i}")]
+    rows = F.array(*[
+        F.struct(F.lit(g).alias("grouping"), F.lit(level).alias("level"), F.col(f"m{i}").alias("mean"),
+                 F.col(f"s{i}").alias("std"), F.col(f"n{i}").alias("n")) for i, (g, level, _) in enumerate(groups)])
+    return df.agg(*aggregates).select(F.inline(rows)).filter("n > 0")

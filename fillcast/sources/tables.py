@@ -139,10 +139,13 @@ def normalise_weather(raw: DataFrame) -> DataFrame | None:
 
 # -- sinks --------------------------------------------------------------------
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # the default text format drops microseconds
+
+
 def write_table(df: DataFrame, path: str, kind: str = "csv", single_file: bool = False) -> str:
     """Write a result table; `single_file` is for the small report tables only."""
     out = df.coalesce(1) if single_file else df
-    writer = out.write.mode("overwrite")
+    writer = out.write.mode("overwrite").option("timestampNTZFormat", MICROS).option("timestampFormat", MICROS)
     if kind == "csv":
         writer.option("header", True).csv(path)
     elif kind == "json":
@@ -154,7 +157,7 @@ def write_table(df: DataFrame, path: str, kind: str = "csv", single_file: bool =
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "csv") -> DataFrame:
     """Read a written result table back with its schema (no inference pass)."""
-    reader = spark.read.schema(schema)
+    reader = spark.read.schema(schema).option("timestampNTZFormat", MICROS)
     if kind == "csv":
         return reader.option("header", True).csv(path)
     return reader.json(path) if kind == "json" else reader.parquet(path)
