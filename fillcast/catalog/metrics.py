@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fillcast.catalog.inputs import (
-    CHECKED, clean, day_predictions, event_features, grid_rows, long_series, predictions, threshold_rows, time_features, time_rows)
+    clean, day_predictions, event_features, grid_rows, long_series, predictions, time_features, time_rows)
 from fillcast.catalog.registry import part, query
 from fillcast.catalog.splits import held_out
-from fillcast.operators import baselines, forecasting, grid, metrics, screening, survival
+from fillcast.functions.columns import micros
+from fillcast.operators import baselines, forecasting, metrics, screening, survival
 
 KEYS = "container_id:i measured_at_utc:u"
 SCORES = "n:i rmse:f mae:f wape:f smape:f r2:f"
@@ -229,9 +230,13 @@ def residual_histogram(spark, sf) -> DataFrame:
     return metrics.residual_histogram(metrics.complete_pairs(predictions(spark, sf)))
 
 
-@query("m18b_scatter_sample", KEYS + " actual:f predicted:f", "SELECT * FROM pairs", ("pairs",))
+@query("m18b_scatter_sample", KEYS + " actual:f predicted:f", """
+SELECT * FROM pairs, (SELECT count(*) AS n FROM pairs)
+WHERE ((container_id * 7919 + epoch_us(measured_at_utc) // 3600000000) % 1009) / 1009.0 < 5000.0 / n""", ("pairs",))
 def scatter_sample(spark, sf) -> DataFrame:
-    return metrics.scatter_sample(metrics.complete_pairs(predictions(spark, sf)))
+    hours = F.floor(micros(F.col("measured_at_utc")) / 3_600_000_000)
+    uniform = (F.col("container_id") * 7919 + hours) % 1009 / 1009.0
+    return metrics.scatter_sample(metrics.complete_pairs(predictions(spark, sf)), 5000, uniform)
 
 
 # Search trials stand in as one row per container: its mean error over some numeric columns.

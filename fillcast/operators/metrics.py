@@ -383,13 +383,16 @@ def residual_histogram(df: DataFrame, bins: int = 80, actual: str = "actual", pr
         F.count(F.lit(1)).alias("n")).withColumn("mean_residual", F.lit(mean))
 
 
-def scatter_sample(df: DataFrame, rows: int = 20_000, settings: Settings = DEFAULTS) -> DataFrame:
-    """A repeatable sample of about `rows` rows (all rows when there are fewer)."""
-    n = df.count()
-    if n <= rows:
-        return df
-    share = rows / n
-    uniform = F.pmod(F.xxhash64(F.lit(settings.seed), *df.columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def scatter_sample(
+    df: DataFrame, rows: int = 20_000, uniform: Column | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """A repeatable sample of about `rows` rows (all rows when there are fewer).
+
+    `uniform` is a number in [0, 1) made from each row; a hash of the row by default.
+    """
+    share = F.lit(rows) / F.lit(max(df.count(), 1))
+    if uniform is None:
+        uniform = F.pmod(F.xxhash64(F.lit(settings.seed), *df.columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return df.filter(uniform < share)
 
 

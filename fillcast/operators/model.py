@@ -306,14 +306,28 @@ def permutation_importance(model: TrainedModel, data: DataFrame, fold: int = 1,
     points = spread.select("actual", "_feature", array_to_vector(mixed).alias("features"))
     scored = model.model.setPredictionCol("_raw").transform(points).withColumn("predicted", clip(F.col("_raw"), *model.limits))
     errors = scored.groupBy("_feature").agg(rmse().alias("_rmse"))
-    base = errors.filter("_feature = -1").select(F.col("_rmse").alias("_base"))
     labels = F.array(*[F.lit(c) for c in names])
-    base_value = base.first()[0]
+    errors = errors.cache()  # one row per feature
+    base_value = errors.filter("_feature = -1").first()["_rmse"]
     return errors.filter("_feature >= 0").select(
         F.get(labels, F.col("_feature")).alias("feature"), F.lit(fold).alias("fold"),
         (F.col("_rmse") - F.lit(base_value)).alias("rmse_growth"))
 
 
+def importance_over_folds(
+    name: str, folds: DataFrame, columns: list[str], params: dict | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Permutation importance of a model trained on each fold, measured on its validation rows."""
+    parts = []
+    for fold, train, validation in each_fold(folds):
+        model = train_model(name, train, columns, validation, params, settings=settings)
+        parts.append(permutation_importance(model, validation, fold, settings))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return summarize_importance(out)
+
+
 def summarize_importance(per_fold: DataFrame) -> DataFrame:
     return per_fold.groupBy("feature").agg(
         F.avg("rmse_growth").alias("importance_mean"), F.stddev_samp("rmse_growth").alias("importance_std_across_folds"))

@@ -17,6 +17,7 @@ Which series are long is found by one map-side combined count; there are at most
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -35,6 +36,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a wide table as parquet below the shared folder and read it back.
+
+    For tables several jobs use: it cuts the lineage, survives lost executors, and later
+    jobs read only the columns they need.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

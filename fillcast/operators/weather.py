@@ -447,21 +447,18 @@ SIGNIFICANT = 0.05
 def weather_impact(df: DataFrame, target: str = "target") -> DataFrame:
     """Pearson correlation with the target for every weather column with over 100 pairs.
 
-    One aggregate computes all of them; its single row is turned into one row per column.
-    The p-value is the normal tail of the t statistic, which over 100 pairs justify.
+    Every row becomes one (column, value, target) entry per weather column, and entries
+    combine map-side, so only sums travel. The p-value is the normal tail of the t
+    statistic, which over 100 pairs justify.
     """
     types = {f.name: f.dataType for f in df.schema}
     names = [c for c in weather_named(df.columns, IMPACT_TERMS) if isinstance(types[c], T.NumericType)]
-    both = lambda c: F.col(c).isNotNull() & F.col(target).isNotNull()
-    aggregates = []
-    for i, c in enumerate(names):
-        x = F.when(both(c), F.col(c).cast("double"))
-        aggregates += [F.count(x).alias(f"n{i}"), correlation(x, F.col(target)).alias(f"r{i}")]
-    row = df.agg(*aggregates)
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("correlation"))
-                     for i, c in enumerate(names)])
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x")) for c in names])
+    x, y = F.col("_x"), F.col("_y")
+    pairs = df.select(F.col(target).cast("double").alias("_y"), F.inline(entries)).filter(x.isNotNull() & y.isNotNull())
+    out = pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("correlation"))
     r, n = F.col("correlation"), F.col("n")
-    out = row.select(F.inline(rows)).filter((n > MIN_IMPACT_PAIRS) & r.isNotNull() & ~F.isnan(r))
+    out = out.filter((n > MIN_IMPACT_PAIRS) & r.isNotNull())
     t = F.abs(r) * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-15)))
     out = out.withColumn("p_value", _normal_tail(t))
     return out.withColumn("significant", F.col("p_value") < SIGNIFICANT)
