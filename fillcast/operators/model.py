@@ -37,8 +37,7 @@ def preset(name: str, **changes) -> dict:
 
 
 def numeric(column: str) -> Column:
-    value = F.col(column).cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
 
 @dataclass(frozen=True)
