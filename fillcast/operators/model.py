@@ -6,7 +6,6 @@ import random
 import time
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fillcast.config import DEFAULTS, Settings
 from fillcast.functions.columns import clip
-from fillcast.operators.encode import CategoryEncoder, feature_columns, safe_names
+from fillcast.operators.encode import CategoryEncoder, feature_columns
 from fillcast.operators.metrics import complete_pairs, rmse
 from fillcast.operators.ordered import LongSeries, global_positions
 from fillcast.operators.split import each_fold, holdout_folds
@@ -36,8 +35,11 @@ def preset(name: str, **changes) -> dict:
     return PRESETS[name] | changes
 
 
-def numeric(column: str) -> Column:
-    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+def _number(column: str) -> str:
+    """SQL text of a column as double with NaN as NULL. Text, because a feature table has
+    hundreds of columns and one parsed expression each is cheaper than chains of calls."""
+    quoted = column.replace("`", "``")
+    return f"nanvl(CAST(`{quoted}` AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
 @dataclass(frozen=True)
@@ -51,32 +53,25 @@ class FeatureMatrix:
     @staticmethod
     def fit(train: DataFrame, columns: list[str]) -> "FeatureMatrix":
         """One aggregate over the training rows: approximate medians and NULL counts."""
-        aggregates = []
-        for i, c in enumerate(columns):
-            aggregates += [F.percentile_approx(numeric(c), 0.5, 1000).alias(f"m{i}"),
-                           F.count_if(numeric(c).isNull()).alias(f"k{i}")]
-        row = train.agg(*aggregates).first()
-        medians = {c: row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(columns)}
-        flagged = tuple(c for i, c in enumerate(columns) if row[f"k{i}"] and not c.endswith("_missing"))
-        return FeatureMatrix(tuple(columns), medians, flagged)
+        medians = F.expr(f"array({', '.join(f'percentile_approx({_number(c)}, 0.5, 1000)' for c in columns)})")
+        nulls = F.expr(f"array({', '.join(f'count_if({_number(c)} IS NULL)' for c in columns)})")
+        found, missing = train.agg(medians.alias("m"), nulls.alias("k")).first()
+        filled = {c: m if m is not None else 0.0 for c, m in zip(columns, found)}
+        flagged = tuple(c for c, k in zip(columns, missing) if k and not c.endswith("_missing"))
+        return FeatureMatrix(tuple(columns), filled, flagged)
 
     @property
     def names(self) -> list[str]:
         return [*self.columns, *[f"{c}_was_missing" for c in self.flagged]]
 
-    def values(self) -> list[Column]:
-        filled = [F.coalesce(numeric(c), F.lit(self.medians[c])) for c in self.columns]
-        return filled + [numeric(c).isNull().cast("double") for c in self.flagged]
+    def values(self) -> Column:
+        """All feature values of a row as one array."""
+        filled = [f"coalesce({_number(c)}, CAST({self.medians[c]!r} AS DOUBLE))" for c in self.columns]
+        flags = [f"CAST({_number(c)} IS NULL AS DOUBLE)" for c in self.flagged]
+        return F.expr(f"array({', '.join(filled + flags)})")
 
     def transform(self, df: DataFrame, array: str = "_x", vector: str = "features") -> DataFrame:
-        return df.withColumn(array, F.array(*self.values())).withColumn(vector, array_to_vector(F.col(array)))
-
-    def assemble(self, df: DataFrame, keep: list[str], vector: str = "features") -> DataFrame:
-        """Kept columns plus the vector, by the assembler (attribute names travel along)."""
-        names = list(safe_names(self.names).values())
-        wide = df.select(*keep, *[v.alias(f"f__{n}") for v, n in zip(self.values(), names)])
-        out = VectorAssembler(inputCols=[f"f__{n}" for n in names], outputCol=vector, handleInvalid="keep").transform(wide)
-        return out.select(*keep, vector)
+        return df.withColumn(array, self.values()).withColumn(vector, array_to_vector(F.col(array)))
 
 
 @dataclass(frozen=True)
@@ -106,14 +101,17 @@ def train_model(
     training rows) decide when to stop adding trees."""
     chosen = dict(PRESETS[name] if params is None else params)
     matrix = FeatureMatrix.fit(train, columns)
-    keep = [target, "_val"]
-    rows = matrix.assemble(train.withColumn("_val", F.lit(False)), keep)
-    if validation is not None:
-        rows = rows.unionByName(matrix.assemble(validation.withColumn("_val", F.lit(True)), keep))
-    elif name in SELF_VALIDATING:
+
+    def assembled(df: DataFrame, held: Column) -> DataFrame:
+        return matrix.transform(df.withColumn("_val", held)).select(target, "_val", "features")
+
+    held = F.lit(False)
+    if validation is None and name in SELF_VALIDATING:
         ids = [c for c in ("container_id", "measured_at_utc") if c in train.columns] or [target]
-        tenth = F.pmod(F.xxhash64(F.lit(settings.seed), *ids), F.lit(100)) < SELF_VALIDATION_PERCENT
-        rows = matrix.assemble(train.withColumn("_val", tenth), keep)
+        held = F.pmod(F.xxhash64(F.lit(settings.seed), *ids), F.lit(100)) < SELF_VALIDATION_PERCENT
+    rows = assembled(train, held)
+    if validation is not None:
+        rows = rows.unionByName(assembled(validation, F.lit(True)))
     stops = validation is not None or name in SELF_VALIDATING
     learner = GBTRegressor(featuresCol="features", labelCol=target, seed=settings.seed if seed is None else seed, **chosen)
     if stops:
