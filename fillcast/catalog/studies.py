@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +94,8 @@ def time_weather_ablation(spark, sf) -> DataFrame:
 
 @query("x08_capacity_segments", "capacity_class:s experiment:s n:i rmse:f mae:f wape:f r2:f")
 def capacity_segments(spark, sf) -> DataFrame:
-    return tables.capacity_table(spark, studies.capacity_segments(_source(spark, sf), "A", ONE))
+    source = replace(_source(spark, sf), settings=CHECKED.with_(folds=2))
+    return tables.capacity_table(spark, studies.capacity_segments(source, "A", ONE))
 
 
 # -- tables; predictions without a model stand in for task results, so that SQL can check them

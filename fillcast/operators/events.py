@@ -69,4 +69,5 @@ def add_event_features(df: DataFrame, settings: Settings = DEFAULTS, long: LongS
 
 def first_rows_per_series(df: DataFrame, n: int, long: LongSeries | None = None) -> DataFrame:
     """The first `n` rows of every container in time order."""
-    return positions(df, KEY, time_order(), long).filter(F.col("_pos") <= n).drop("_pos")
+    order = [*time_order(), F.xxhash64(*df.columns)]
+    return positions(df, KEY, order, long).filter(F.col("_pos") <= n).drop("_pos")

@@ -78,16 +78,17 @@ def bootstrap_intervals(
 ) -> DataFrame:
     """Percentile intervals of RMSE and MAE from resampled buckets of rows.
 
-    Rows are reduced to sums per hash bucket in one pass; each replicate draws every bucket
+    Rows are reduced to sums per random bucket in one pass; each replicate draws every bucket
     a Poisson(1) number of times, from a hash of (seed, bucket, replicate). The resampling
-    work is rounds x buckets whatever the number of rows; with fewer rows than buckets it is
-    the ordinary row bootstrap.
+    work is rounds x buckets whatever the number of rows; with few rows it is close to the
+    ordinary row bootstrap. Buckets are drawn, not hashed from the row, so that copies of a
+    row count as separate observations.
     """
     n = rounds or settings.bootstrap_rounds
     _, _, e = _y(actual, predicted)
     pairs = complete_pairs(df, actual, predicted)
-    bucket = F.pmod(F.xxhash64(F.lit(settings.seed), *pairs.columns), F.lit(buckets))
-    sums = pairs.groupBy(*by, bucket.alias("_bucket")).agg(
+    bucket = F.floor(F.rand(settings.seed) * buckets)
+    sums = pairs.withColumn("_bucket", bucket).groupBy(*by, "_bucket").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(e * e).alias("_sq"), F.sum(F.abs(e)).alias("_ab"))
     drawn = sums.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
         "_times", poisson_one(F.xxhash64(F.lit(settings.seed), "_bucket", "_round")))

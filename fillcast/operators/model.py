@@ -15,7 +15,7 @@ from fillcast.config import DEFAULTS, Settings
 from fillcast.functions.columns import clip
 from fillcast.operators.encode import CategoryEncoder, feature_columns
 from fillcast.operators.metrics import complete_pairs, rmse
-from fillcast.operators.ordered import LongSeries, global_positions
+from fillcast.operators.ordered import LongSeries, global_positions, stored
 from fillcast.operators.split import each_fold, holdout_folds
 
 # Number of rounds, step size, leaf size and sampling of the three presets.
@@ -274,24 +274,23 @@ BUCKET_ROWS = 10_000
 def permutation_importance(model: TrainedModel, data: DataFrame, fold: int = 1, settings: Settings = DEFAULTS) -> DataFrame:
     """Growth of RMSE when one feature's values are exchanged between rows.
 
-    Rows swap within hash buckets of about 10,000 rows: two independent orders of a bucket
-    are matched by row number, so there is no global sort. All features are scored in one
-    pass over rows x features.
+    Rows swap within random buckets of about 10,000 rows: two independent orders of a bucket
+    are matched by row number, so there is no global sort. The rows are stored with their
+    bucket first, so both orders see the same ones. All features are scored in one pass
+    over rows x features.
     """
     names = model.matrix.columns
     n = data.count()
     buckets = max(1, n // BUCKET_ROWS)
-    ids = [c for c in ("container_id", "measured_at_utc", "target") if c in data.columns]
-    rows = model.matrix.transform(data).select(
-        *[F.col(c).alias(f"_id_{c}") for c in ids], F.col("target").alias("actual"), "_x",
-        F.pmod(F.xxhash64(F.lit(settings.seed), *ids), F.lit(buckets)).alias("_bucket"))
-    id_cols = [f"_id_{c}" for c in ids]
+    rows = stored(model.matrix.transform(data).select(
+        F.col("target").alias("actual"), "_x", F.floor(F.rand(settings.seed) * buckets).alias("_bucket"),
+        F.rand(settings.seed + 1).alias("_a"), F.rand(settings.seed + 2).alias("_b")))
 
-    def ordered(salt: int) -> Window:
-        return Window.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(salt), *id_cols), *id_cols)
+    def ordered(by: str) -> Window:
+        return Window.partitionBy("_bucket").orderBy(by)
 
-    numbered = rows.withColumn("_n", F.row_number().over(ordered(settings.seed + 1)))
-    donors = rows.select("_bucket", F.row_number().over(ordered(settings.seed + 2)).alias("_n"), F.col("_x").alias("_y"))
+    numbered = rows.withColumn("_n", F.row_number().over(ordered("_a")))
+    donors = rows.select("_bucket", F.row_number().over(ordered("_b")).alias("_n"), F.col("_x").alias("_y"))
     both = numbered.join(donors, ["_bucket", "_n"])
     index = {c: i for i, c in enumerate(names)}
     owner = F.array(*[F.lit(index[c]) for c in (*names, *model.matrix.flagged)])

@@ -106,16 +106,18 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums along `order`, computed chunk by chunk.
 
-    The range exchange spreads equal keys too: a seeded salt is the last sort column,
-    so copies of one row do not end up in one task. The checkpoint pins the chunk
-    numbers, which the per-chunk totals and the rows must agree on.
+    The range exchange spreads equal keys too: a random salt is the last sort column, so
+    copies of one row do not end up in one task. Two checkpoints make that safe against
+    lost executors: the first pins the salts, so a task run again sends every copy to the
+    same place; the second pins the chunk numbers, which the per-chunk totals and the rows
+    must agree on.
     """
     chunks = max(1, -(-rows // block_rows)) * 2
     placed = df.withColumn("_salt", F.rand(17))
     for i, c in enumerate(order):
         placed = placed.withColumn(f"_o{i}", c)
     sort_cols = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(order))] + [F.col("_salt")]
-    placed = placed.withColumns({f"_w_{name}": c for name, c in sums.items()})
+    placed = saved(placed.withColumns({f"_w_{name}": c for name, c in sums.items()}))
     placed = saved(
         placed.repartitionByRange(chunks, *keys, *sort_cols).withColumn("_chunk", F.spark_partition_id())
     )

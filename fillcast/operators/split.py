@@ -73,7 +73,9 @@ def mark_newest(
     def with_joined_size(part: DataFrame) -> DataFrame:  # one row per long series
         return part.join(F.broadcast(part.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))), KEY)
 
-    ranked = on_both(positions(df, KEY, time_order(), long), long, with_size, with_joined_size)
+    # rows of one instant need a fixed order too: both parts are read from separate jobs
+    order = [*time_order(), F.xxhash64(*df.columns)]
+    ranked = on_both(positions(df, KEY, order, long), long, with_size, with_joined_size)
     newest = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction)))
     return ranked.withColumn(
         name, F.when(F.col("_pos") > F.col("_n") - newest, "val").otherwise("train")).drop("_pos", "_n")
