@@ -48,8 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql(READINGS)
+    return spark.sql(READINGS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:

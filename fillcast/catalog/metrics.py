@@ -339,12 +339,12 @@ _NAIVE = {"Last Value (Naive)": "target_lag_1", "Same Day-of-Week": "coalesce(ta
 @query("b09_naive_comparison", "model:s " + SCORES, f"SELECT model, {PAIR_SCORES} FROM (SELECT *, actual - predicted AS e FROM (" + " UNION ALL ".join(
     f"SELECT '{m}' AS model, target AS actual, {c} AS predicted FROM ev_test" for m, c in _NAIVE.items()) + ") WHERE predicted IS NOT NULL) GROUP BY 1", ("ev_test",))
 def naive_comparison(spark, sf) -> DataFrame:
-    return baselines.compare_baselines(event_features(spark, sf), held_out(spark, sf), long=long_series(spark, sf), forecasters=False)
+    return baselines.compare_baselines(event_features(spark, sf), held_out(spark, sf), long=long_series(spark, sf), forecasters=False, min_rows=1)
 
 
 @query("b09b_all_baselines", "model:s " + SCORES)
 def all_baselines(spark, sf) -> DataFrame:
-    return baselines.compare_baselines(event_features(spark, sf), held_out(spark, sf), long=long_series(spark, sf))
+    return baselines.compare_baselines(event_features(spark, sf), held_out(spark, sf), long=long_series(spark, sf), min_rows=1)
 
 
 # -- survival ---------------------------------------------------------------------
@@ -402,11 +402,11 @@ FROM (SELECT CAST(round(duration / 0.01) AS INT) AS t, CAST(floor(percent_calcul
       WHERE container_id NOT IN (SELECT container_id FROM test_ids)) GROUP BY 1, 2""", "waits", "test_ids")
 
 
-# pairs counted one by one on the same 0.01-day buckets and half-percent steps
+# for a hazard that rises with the fill level; pairs counted one by one on the same buckets
 @query("v04_concordance", "concordance:f", """
 SELECT sum(a.d * b.o * CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END) / sum(a.d * b.o) AS concordance
 FROM cells a JOIN (SELECT t, x, n, d, n - d AS c FROM cells) b0 ON b0.t >= a.t, LATERAL (SELECT b0.x AS x, CASE WHEN b0.t > a.t THEN b0.n ELSE b0.c END AS o) b
 WHERE a.d > 0""", ("cells",))
 def concordance(spark, sf) -> DataFrame:
-    train, _ = _survival_sides(spark, sf)
-    return survival.concordance(survival.fit_hazard(train), train)
+    rising = survival.HazardModel(beta=1.0, center=0.0, scale=1.0, steps=0, times=(), hazard=())
+    return survival.concordance(rising, _survival_sides(spark, sf)[0])

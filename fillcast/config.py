@@ -100,7 +100,7 @@ class Settings:
 
     # a series longer than this is cut into blocks of this many rows, so
     # that no task ever sorts more than one block (plus its overlap)
-    block_rows: int = 4_000_000
+    block_rows: int = 1_000_000
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fillcast.config import DEFAULTS, Settings
 from fillcast.functions.columns import correlation
-from fillcast.operators.ordered import exact_quantile, global_running_sums
+from fillcast.operators.ordered import exact_quantile, global_running_sums, stored
 
 SMAPE_EPSILON = 1e-8
 
@@ -155,11 +155,11 @@ def wilcoxon_statistic(
     running count, computed in range-partitioned chunks when there are many values.
     """
     d = F.col("_d")
-    gaps = _error_gap(df, actual, first, second)
-    pairs = gaps.count()
-    groups = gaps.filter(d != 0).groupBy(F.abs(d).alias("_abs")).agg(
-        F.count(F.lit(1)).alias("_k"), F.count_if(d > 0).alias("_plus"))
-    ranked = global_running_sums(groups, [F.col("_abs")], {"_upto": F.col("_k")}, settings.block_rows)
+    groups = stored(_error_gap(df, actual, first, second).groupBy(F.abs(d).alias("_abs")).agg(
+        F.count(F.lit(1)).alias("_k"), F.count_if(d > 0).alias("_plus")))
+    distinct, pairs = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_k"), F.lit(0))).first()
+    ranked = global_running_sums(
+        groups.filter(F.col("_abs") != 0), [F.col("_abs")], {"_upto": F.col("_k")}, settings.block_rows, distinct)
     k = F.col("_k").cast("double")
     rank = F.col("_upto") - (k - 1) / 2
     return ranked.agg(
@@ -241,12 +241,15 @@ def threshold_decisions(
     })
 
 
-def _ranked_urgent(df: DataFrame, by: str, tie: tuple[str, ...], threshold: float, actual: str, settings: Settings) -> DataFrame:
-    """Urgent rows and their rank by falling `by`; only the ranks of urgent rows are kept."""
-    keyed = df.select((-F.col(by)).alias("_by"), *tie, (F.col(actual) >= threshold).alias("_urgent"))
+def _ranked_urgent(
+    df: DataFrame, by: str, tie: tuple[str, ...], threshold: float, actual: str, settings: Settings
+) -> tuple[DataFrame, int]:
+    """Urgent rows with their rank by falling `by` among all rows, and the number of all rows."""
+    keyed = stored(df.select((-F.col(by)).alias("_by"), *tie, (F.col(actual) >= threshold).alias("_urgent")))
+    n = keyed.count()
     ranked = global_running_sums(
-        keyed, [F.col("_by"), *[F.col(t) for t in tie]], {"_rank": F.lit(1).cast("long")}, settings.block_rows)
-    return ranked.filter("_urgent")
+        keyed, [F.col("_by"), *[F.col(t) for t in tie]], {"_rank": F.lit(1).cast("long")}, settings.block_rows, n)
+    return ranked.filter("_urgent"), n
 
 
 def top_share_hits(
@@ -254,8 +257,7 @@ def top_share_hits(
     threshold: float = MAIN_THRESHOLD, actual: str = "actual", predicted: str = "predicted", settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """How many urgent rows are among the top k % by prediction. Ties go by the `tie` columns."""
-    n = df.count()
-    urgent = _ranked_urgent(df, predicted, tie, threshold, actual, settings)
+    urgent, n = _ranked_urgent(df, predicted, tie, threshold, actual, settings)
     sizes = [n * s // 100 for s in shares]
     counts = urgent.agg(
         F.count(F.lit(1)).alias("n_urgent"),
@@ -275,9 +277,9 @@ def capacity_lift(
 
     The best order serves urgent rows first, so it catches min(capacity, urgent rows).
     """
-    n = df.count()
+    urgent, n = _ranked_urgent(df, predicted, tie, threshold, actual, settings)
     k = n * share // 100
-    caught = _ranked_urgent(df, predicted, tie, threshold, actual, settings).agg(
+    caught = urgent.agg(
         F.count(F.lit(1)).alias("n_urgent"), F.count_if(F.col("_rank") <= k).alias("model_catches"))
     u = F.col("n_urgent")
     chance = u * share / F.lit(100.0)

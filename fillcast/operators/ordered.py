@@ -152,10 +152,14 @@ def positions(
 
 
 def global_running_sums(
-    df: DataFrame, order: list[Column], sums: dict[str, Column], block_rows: int = DEFAULTS.block_rows
+    df: DataFrame, order: list[Column], sums: dict[str, Column], block_rows: int = DEFAULTS.block_rows,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Running sums over one global order; a single-task window only below `block_rows` rows."""
-    rows = df.count()
+    """Running sums over one global order; a single-task window only below `block_rows` rows.
+
+    `rows` is the row count where the caller knows it.
+    """
+    rows = df.count() if rows is None else rows
     if rows <= block_rows:
         window = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
@@ -164,9 +168,9 @@ def global_running_sums(
 
 
 def global_positions(
-    df: DataFrame, order: list[Column], name: str, block_rows: int = DEFAULTS.block_rows
+    df: DataFrame, order: list[Column], name: str, block_rows: int = DEFAULTS.block_rows, rows: int | None = None
 ) -> DataFrame:
-    return global_running_sums(df, order, {name: F.lit(1).cast("long")}, block_rows)
+    return global_running_sums(df, order, {name: F.lit(1).cast("long")}, block_rows, rows)
 
 
 # -- frames of bounded reach ---------------------------------------------------
@@ -316,11 +320,11 @@ def series_quantile(df: DataFrame, keys: list[str], value: str, q: float, name:
 
 def exact_quantile(df: DataFrame, value: str, q: float, name: str, block_rows: int = DEFAULTS.block_rows) -> DataFrame:
     """Exact quantile of a whole column, as a one-row frame."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_k"))
-    total = counts.agg(F.sum("_k")).first()[0] or 0
+    counts = stored(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_k")))
+    distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_k"), F.lit(0))).first()
     at = (total - 1) * q + 1
     last = F.col("_last")
-    ranked = global_running_sums(counts, [F.col(value)], {"_last": F.col("_k")}, block_rows)
+    ranked = global_running_sums(counts, [F.col(value)], {"_last": F.col("_k")}, block_rows, distinct)
     low = F.floor(F.lit(at))
     return ranked.agg(
         (F.min(F.when(last >= low, F.col(value))) * F.lit(1 - (at - int(at)))

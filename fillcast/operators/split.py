@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fillcast.config import DEFAULTS, Settings
 from fillcast.operators.emptying import KEY, time_order
-from fillcast.operators.ordered import LongSeries, global_positions, on_both, positions
+from fillcast.operators.ordered import LongSeries, global_positions, on_both, positions, stored
 
 # Seed offset of each capacity class, so that their hold-outs are independent.
 SEED_OFFSETS = {"low": 0, "medium": 100, "high": 200, "unknown": 300}
@@ -30,10 +30,11 @@ def arithmetic(entity: Column, seed: int) -> Column:
 
 def shuffled_containers(df: DataFrame, seed: int, key: ShuffleKey = hashed, settings: Settings = DEFAULTS) -> tuple[DataFrame, int]:
     """Distinct containers with their rank in the shuffle order, and how many there are."""
-    ids = df.select(*KEY).distinct()
+    ids = stored(df.select(*KEY).distinct())
+    n = ids.count()
     order = ids.withColumn("_shuffle", key(F.col("container_id"), seed))
-    ranked = global_positions(order, [F.col("_shuffle"), F.col("container_id")], "_rank", settings.block_rows)
-    return ranked.drop("_shuffle"), ids.count()
+    ranked = global_positions(order, [F.col("_shuffle"), F.col("container_id")], "_rank", settings.block_rows, n)
+    return ranked.drop("_shuffle"), n
 
 
 def hold_out_containers(
