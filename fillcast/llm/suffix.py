@@ -128,10 +128,12 @@ def merge_transforms(bodies: list[bytes], windows: list[int], groups: list[int])
     of = np.repeat(np.arange(len(bodies)), count)
     begin = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + starts[of]
     shard = starts[of] // SHARD_BYTES
-    # The interleave at depth 0: shard after shard, each in its own order. Groups never mix.
+    # The interleave at depth 0: shard after shard, each in its own order, within each group.
     orders = [np.flatnonzero(shard == s) for s in np.unique(shard)]
     entry = np.concatenate([o[shard_transform(text, begin[o] + WIDTH)] for o in orders])
     block = np.array(groups, np.int64)[of][entry]
+    order = np.argsort(block, kind="stable")
+    entry, block = entry[order], block[order]
     symbol = _symbols(text)
     position = begin[entry] + WIDTH
     for _ in range(WIDTH // SYMBOL):
