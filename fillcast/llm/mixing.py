@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillcast.llm.common import KEY, SPACE, keyed, on_key
+from fillcast.llm.common import KEY, WORD, keyed, on_key
 from fillcast.operators.ordered import stored
 
 
@@ -29,7 +29,7 @@ LEVELS = ["__l0", "__l1", "__l2"]
 
 def n_tokens(text: Column) -> Column:
     """Words, as a stand-in for tokens that every engine counts alike."""
-    return F.size(F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE)), " "), lambda w: F.length(w) > 0)).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def _weight(level: str, weights: dict[str, float]) -> Column:

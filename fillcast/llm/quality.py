@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillcast.llm.common import SPACE, WORD, ascii_lower
+from fillcast.llm.common import WORD
 
-SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 8
 
 
@@ -27,40 +26,49 @@ class LineRules:
     max_lost_percent: int = 50
 
 
-#: Sentence ends, menu separators, menu words and boilerplate phrases (fixed values, lower case).
+#: Sentence ends, menu separators, menu lines and boilerplate phrases (fixed values, lower case).
 SENTENCE_END = "[.!?:;…。！？]"
 SEPARATOR = "[|»›•·]|>>| / "
-MENU_LINE = "^(home|menu|about( us)?|contact( us)?|login|log in|sign (in|up)|register|search|share|next|previous|back to top|read more|skip to content)$"
-BOILERPLATE = (
-    "all rights reserved|licensed under|terms of (use|service)|privacy policy|cookie policy|uses cookies|accept cookies"
-    "|enable javascript|lorem ipsum|subscribe to our newsletter|copyright ©|copyright \\(c\\)|powered by")
+MENU_LINE = (
+    r"(?i)^\s*(home|menu|about( us)?|contact( us)?|login|log in|sign (in|up)|register|search|share|next|previous|back to top"
+    r"|read more|skip to content)\s*$")
+BOILERPLATE = [
+    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies",
+    "accept cookies", "enable javascript", "lorem ipsum", "subscribe to our newsletter", "copyright ©", "copyright (c)", "powered by"]
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def n_chars_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def n_symbols_of(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
+
+
+def n_word_chars_of(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
     """True if any of the punctuation, navigation and boilerplate rules rejects the line."""
-    n_words = F.size(words_of(line))
-    low = F.btrim(ascii_lower(line), F.lit(SPACE))
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    separators = F.size(F.regexp_extract_all(line, F.lit(SEPARATOR), F.lit(0)))
-    punctuation = ((n_words >= rules.sentence_words) & ~line.rlike(SENTENCE_END)) | (
-        symbols * 100 > n_words * rules.symbols_per_100_words)
-    navigation = ((separators >= 2) & (n_words <= separators * (rules.menu_words_per_separator + 1))) | low.rlike(MENU_LINE)
-    return punctuation | navigation | low.rlike(BOILERPLATE)
-
-
-def repeat_words(words: Column, width: int) -> Column:
-    """Words inside windows of `width` words that occur twice or more in the text."""
+    n_words = F.regexp_count(line, F.lit(WORD))
+    symbols = n_symbols_of(line)
+    separators = F.regexp_count(line, F.lit(SEPARATOR))
+    no_end = ~line.rlike(SENTENCE_END)
+    punctuation = (no_end & (n_words >= rules.sentence_words)) | (
+        (symbols > 0) & (symbols * 100 > n_words * rules.symbols_per_100_words))
+    navigation = ((separators >= 2) & (n_words <= separators * (rules.menu_words_per_separator + 1))) | line.rlike(MENU_LINE)
+    boilerplate = F.lit(False)
+    for phrase in BOILERPLATE:
+        boilerplate = boilerplate | F.lower(line).contains(phrase)
+    return punctuation | navigation | boilerplate
+
+
+def window_hashes(words: Column, width: int) -> Column:
+    """A hash of each window of `width` words; elements are read one by one, as a slice would copy the array."""
     n = F.size(words)
     return F.when(n < width, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, width))))
+        F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])))
 
 
 def score_documents(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -> DataFrame:
@@ -80,15 +88,15 @@ def score_documents(docs: DataFrame, text: str = "text", rules: LineRules | None
         "__words": words_of(t), "__lines": F.split(t, "\n", -1)})
     # A projection of its own for each step: the next ones use its columns more than once.
     rows = rows.withColumns({
-        "__hashes": repeat_words(F.col("__words"), WINDOW_WORDS),
-        "__worded": F.filter("__lines", lambda x: F.length(F.translate(x, SPACE, "")) > 0),
+        "__hashes": window_hashes(F.col("__words"), WINDOW_WORDS),
+        "__worded": F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         "__fails": F.transform("__lines", lambda x: line_fails(x, rules))})
     rows = rows.withColumn("__sorted", F.when(
         F.size(F.array_distinct("__hashes")) < F.size("__hashes"),
-        F.array_sort(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     s = F.col("__sorted")
     again = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
-    rows = rows.withColumn("__starts", F.array_sort(F.transform(again, lambda x: x["i"])))
+    rows = rows.withColumn("__starts", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.aggregate(
         F.coalesce(F.col("__starts"), F.array().cast("array<int>")),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("to")),
@@ -96,12 +104,12 @@ def score_documents(docs: DataFrame, text: str = "text", rules: LineRules | None
             (a["n"] + p + WINDOW_WORDS - F.greatest(p, a["to"])).cast("long").alias("n"), (p + WINDOW_WORDS).alias("to")),
         lambda a: a["n"])
     lost = F.aggregate(
-        F.zip_with("__lines", "__fails", lambda x, f: F.when(f, F.length(F.translate(x, SPACE, ""))).otherwise(0)),
+        F.zip_with("__lines", "__fails", lambda x, f: F.when(f, n_word_chars_of(x)).otherwise(0)),
         F.lit(0).cast("long"), lambda a, x: a + x)
     rows = rows.withColumns({
         "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.translate(t, SPACE, "")).cast("long"),
-        "n_symbols": n_chars_of(t, SYMBOLS),
+        "word_chars": F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+        "n_symbols": n_symbols_of(t).cast("long"),
         "n_dup_lines": (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long"),
         "n_repeat_words": covered,
         "__lost": lost,
