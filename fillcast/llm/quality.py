@@ -28,7 +28,7 @@ class LineRules:
 
 #: Sentence ends, menu separators, menu lines and boilerplate phrases (fixed values, lower case).
 SENTENCE_END = "[.!?:;…。！？]"
-SEPARATOR = "[|»›•·]|>>| / "
+SEPARATOR = "[|»›•·]"
 MENU_LINE = (
     r"(?i)^\s*(home|menu|about( us)?|contact( us)?|login|log in|sign (in|up)|register|search|share|next|previous|back to top"
     r"|read more|skip to content)\s*$")
@@ -49,26 +49,34 @@ def n_word_chars_of(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
+def line_facts(line: Column) -> Column:
+    """What the rules ask of a line, each taken once; words are counted only where a rule looks at them."""
+    symbols, separators, ends = n_symbols_of(line), F.regexp_count(line, F.lit(SEPARATOR)), line.rlike(SENTENCE_END)
+    words = F.when(~ends | (symbols > 0) | (separators > 1), F.regexp_count(line, F.lit(WORD))).otherwise(0)
+    return F.struct(
+        words.alias("words"), symbols.alias("symbols"), separators.alias("separators"), ends.alias("ends"),
+        line.rlike(MENU_LINE).alias("menu"), F.lower(line).alias("low"))
+
+
+def line_fails(facts: Column, rules: LineRules) -> Column:
     """True if any of the punctuation, navigation and boilerplate rules rejects the line."""
-    n_words = F.regexp_count(line, F.lit(WORD))
-    symbols = n_symbols_of(line)
-    separators = F.regexp_count(line, F.lit(SEPARATOR))
-    no_end = ~line.rlike(SENTENCE_END)
-    punctuation = (no_end & (n_words >= rules.sentence_words)) | (
-        (symbols > 0) & (symbols * 100 > n_words * rules.symbols_per_100_words))
-    navigation = ((separators >= 2) & (n_words <= separators * (rules.menu_words_per_separator + 1))) | line.rlike(MENU_LINE)
+    x = {k: facts[k] for k in ("words", "symbols", "separators", "ends", "menu", "low")}
+    punctuation = (~x["ends"] & (x["words"] >= rules.sentence_words)) | ((x["symbols"] > 0) & (x["symbols"] * 100 > x["words"] * rules.symbols_per_100_words))
+    navigation = ((x["separators"] >= 2) & (x["words"] <= x["separators"] * (rules.menu_words_per_separator + 1))) | x["menu"]
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.lower(line).contains(phrase)
+        boilerplate = boilerplate | x["low"].contains(phrase)
     return punctuation | navigation | boilerplate
 
 
-def window_hashes(words: Column, width: int) -> Column:
-    """A hash of each window of `width` words; elements are read one by one, as a slice would copy the array."""
-    n = F.size(words)
+def window_hashes(hashes: Column, width: int) -> Column:
+    """A hash of each window of `width` words, from the words' hashes.
+
+    Elements are read one by one: `slice` would copy the whole array each time.
+    """
+    n = F.size(hashes)
     return F.when(n < width, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])))
+        F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])))
 
 
 def score_documents(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -> DataFrame:
@@ -86,11 +94,12 @@ def score_documents(docs: DataFrame, text: str = "text", rules: LineRules | None
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.drop(*[c for c in results if c != text]).withColumns({
         "__words": words_of(t), "__lines": F.split(t, "\n", -1)})
+    rows = rows.withColumn("__each", F.transform("__words", lambda w: F.xxhash64(w)))
     # A projection of its own for each step: the next ones use its columns more than once.
     rows = rows.withColumns({
-        "__hashes": window_hashes(F.col("__words"), WINDOW_WORDS),
+        "__hashes": window_hashes(F.col("__each"), WINDOW_WORDS),
         "__worded": F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        "__fails": F.transform("__lines", lambda x: line_fails(x, rules))})
+        "__fails": F.transform(F.transform("__lines", line_facts), lambda x: line_fails(x, rules))})
     rows = rows.withColumn("__sorted", F.when(
         F.size(F.array_distinct("__hashes")) < F.size("__hashes"),
         F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -119,4 +128,4 @@ def score_documents(docs: DataFrame, text: str = "text", rules: LineRules | None
         "lost_percent": F.when(F.col("word_chars") > 0, F.col("__lost") * 100.0 / F.col("word_chars")).otherwise(0.0),
         "base_failed": (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("__lost") * 100 <= F.col("word_chars") * rules.max_lost_percent)).drop(
-        "__words", "__lines", "__hashes", "__worded", "__fails", "__sorted", "__starts", "__lost")
+        "__words", "__each", "__lines", "__hashes", "__worded", "__fails", "__sorted", "__starts", "__lost")
