@@ -79,15 +79,18 @@ def hamming_edges(fps: DataFrame, bits: int = 64, segment_bits: int = 4) -> Data
         f" transform(filter(array({step}), s -> (shiftrightunsigned(v, s) & {full}) > 0), s -> v - shiftleft(1L, s)))")
     cells = (
         fps.select("fp").withColumn("v", F.expr(counts.format(own)))
-        .select("fp", F.explode(F.expr(visits)).alias("c"), F.expr(band).alias("w")))
+        .select("fp", "v", F.explode(F.expr(visits)).alias("c"), F.expr(band).alias("w")))
     met = cells.groupBy("w", "c").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     met = stored(met)
     pairs = met.filter("n = 2 AND bit_count(a ^ b) <= 2").select("a", "b")
-    flips = f"concat(array(fp), transform(sequence(0, {bits - 1}), s -> fp ^ shiftleft(1L, s)))"
+    # Half-way fingerprints of a visitor inside a cell: itself at home, else one bit of the segment that differs.
+    inside = (
+        f"CASE WHEN c = v THEN array(fp) ELSE transform(filter("
+        f"sequence(bit_count(abs(c - v) - 1), bit_count(abs(c - v) - 1) + {segment_bits - 1}),"
+        f" s -> (shiftrightunsigned(fp, s) & 1) = CASE WHEN c > v THEN 0 ELSE 1 END), s -> fp ^ shiftleft(1L, s)) END")
     mids = (
         cells.join(met.filter("n > 2").select("w", "c"), ["w", "c"], "left_semi")
-        .select("fp", "c", F.explode(F.expr(flips)).alias("m"))
-        .filter(F.expr(counts.format("m" if bits == 64 else f"(m & {low}L)") + " = c")))
+        .select("fp", F.explode(F.expr(inside)).alias("m")))
     # A midpoint has one cell, so it is a key by itself. Two rows of a star are needed, its smallest and each other.
     smallest = mids.groupBy("m").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("m", "a")
     stars = mids.join(smallest, "m").filter("fp > a").select("a", F.col("fp").alias("b"))
@@ -117,7 +120,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 MIN_SIMILARITY = 0.8
 SIMILAR_SHINGLE_WORDS = 5
-BANDS, BAND_BITS, BAND_SEGMENT = 6, 48, 3
+BANDS, BAND_BITS, BAND_SEGMENT = 6, 48, 2
 _WORD_CACHE = 300_000
 
 
