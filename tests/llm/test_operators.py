@@ -1,0 +1,322 @@
+"""The corpus operators against brute force, on hard rows: NULLs, empty and long texts, repeats, name clashes."""
+
+import hashlib
+import os
+import random
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import brute  # noqa: E402
+
+from fillcast.llm import secrets, suffix, toxicity  # noqa: E402
+from fillcast.llm.components import connected_components  # noqa: E402
+from fillcast.llm.decontamination import find_contamination, remove_spans, without_contaminated  # noqa: E402
+from fillcast.llm.lines import drop_frequent_lines  # noqa: E402
+from fillcast.llm.mixing import Mixture, leaf_budgets, mixed_documents, select_mixture  # noqa: E402
+from fillcast.llm.quality import score_documents  # noqa: E402
+from fillcast.llm.sharding import assign_shards  # noqa: E402
+from fillcast.llm.simhash import hamming_edges, near_duplicate_groups, simhash_components, without_near_duplicates  # noqa: E402
+from fillcast.llm.urls import judge_urls  # noqa: E402
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_words string, fp string, score string, `bucket` string"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefgéß") for _ in range(rng.randint(2, 7))).capitalize() + rng.choice(["", "", ".", "\n"]) for _ in range(n))
+
+
+def hard_rows():
+    rng = random.Random(5)
+    long = prose(rng, 3000)
+    shared = prose(rng, 70)
+    texts = [None, "", " \t\n ", "one", "two words", "É é", "line\nline\nLINE \n\n line", "x " * 600, "a b c d e f g h " * 8, long, long,
+             long.replace("a", "e", 3), long + " tail", shared, "start " + shared, shared + " end", "Same line\nother", "é" * 500]
+    texts += [prose(rng, rng.randint(1, 200)) + "\nCommon line here.\n" + prose(rng, 5) for _ in range(12)]
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["s0", "s1", None]), "clash", "clash", "clash", "b") for i, t in enumerate(texts)]
+    return rows + [rows[9], rows[9], (None, "no id", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(hard_rows(), SCHEMA).repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def pairs(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+
+
+def test_quality_counts(docs, empty):
+    names = list(brute.base_counts(""))
+    got = pairs(score_documents(docs), "doc_id", *names)
+    assert got == sorted(((r[0], *brute.base_counts(r[1]).values()) for r in hard_rows()), key=str)
+    assert score_documents(empty).count() == 0
+
+
+def test_quality_rules_reject_by_line(spark):
+    good = "This is a plain sentence that says something of use to its readers.\n" * 3
+    good = good + "A second sentence follows here with some other words in it."
+    menu = "\n".join(["Home | About | Contact | Login"] * 2 + ["All rights reserved by the owners of this page"] * 2) * 3
+    rows = [(0, good), (1, menu + "\nshort end."), (2, good + "\nHome | News | Shop")]
+    out = {r["doc_id"]: r for r in score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert "Home" not in out[2]["clean_text"] and out[2]["lost_percent"] > 0
+    assert not out[1]["kept"]
+
+
+def test_suffix_equals_brute_force(docs, empty):
+    got = pairs(suffix.remove_repeats(docs, keep=["doc_id"], bodies=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = hard_rows()
+    assert got == sorted(((r[0], *x) for r, x in zip(rows, brute.suffix([r[1] for r in rows]), strict=True)), key=str)
+    assert suffix.remove_repeats(empty).count() == 0
+
+
+def test_suffix_splits_crowded_groups(spark, monkeypatch):
+    rng = random.Random(1)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, rng.randint(0, 40)) + " " + passage[:rng.randint(60, len(passage))] + " " + prose(rng, rng.randint(20, 60))) for i in range(60)]
+    monkeypatch.setattr(suffix, "GROUP_SEGMENTS", 5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = pairs(suffix.remove_repeats(df, keep=["doc_id"], bodies=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(((r[0], *x) for r, x in zip(rows, brute.suffix([r[1] for r in rows]), strict=True)), key=str)
+
+
+def test_suffix_bytes_round_trip(docs):
+    for r in suffix.remove_repeats(docs).collect():
+        body = (r["text"] or "").encode()
+        assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
+        assert len(r["kept"]) + r["n_removed"] == len(body) == r["n_bytes"]
+
+
+def test_simhash_equals_brute_force(docs, empty):
+    rows = [(r[0], r[1]) for r in hard_rows()]
+    kinds = {}
+    for k, (i, t) in enumerate(rows):
+        kinds[k] = (i, t)
+    fps = {k: brute.fingerprint(t) for k, (_, t) in kinds.items()}
+    values = sorted(set(fps.values()))
+    root = brute.components(values, [(a, b) for n, a in enumerate(values) for b in values[n + 1:] if (a ^ b).bit_count() <= 2])
+    least = {}
+    for k, (i, _) in kinds.items():
+        if i is not None:
+            least[root[fps[k]]] = min(least.get(root[fps[k]], i), i)
+    want = sorted(((i, f"{fps[k]:016x}", least.get(root[fps[k]])) for k, (i, _) in kinds.items()), key=str)
+    assert pairs(simhash_components(docs), "doc_id", "fingerprint", "component_id") == want
+    assert simhash_components(empty).count() == 0
+
+
+@pytest.mark.parametrize("bits,segment", [(64, 4), (48, 2)])
+def test_hamming_edges_connect_what_all_pairs_connect(spark, bits, segment):
+    rng = random.Random(bits)
+    values = set()
+    for _ in range(30):
+        b = rng.getrandbits(bits)
+        for _ in range(20):
+            x = b
+            for _ in range(rng.randint(0, 4)):
+                x ^= 1 << rng.randrange(bits)
+            values.add(x - (1 << 64) if x >= 1 << 63 else x)
+    nodes, mask = sorted(values), (1 << 64) - 1
+    edges = [tuple(r) for r in hamming_edges(spark.createDataFrame([(x,) for x in nodes], "fp bigint"), bits, segment).collect()]
+    assert all(((a ^ b) & mask).bit_count() <= 2 for a, b in edges)
+    close = [(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1:] if ((a ^ b) & mask).bit_count() <= 2]
+    assert brute.components(nodes, edges) == brute.components(nodes, close)
+
+
+def test_near_duplicates(spark, docs, empty):
+    rng = random.Random(9)
+    base = [prose(rng, 300) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i, t in enumerate(base):
+        w = t.split(" ")
+        w[150] = "changed"
+        rows.append((100 + i, " ".join(w)))
+        rows.append((200 + i, t.translate({ord(c): ord(c) - 32 for c in "abcdefg"})))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in without_near_duplicates(df).collect()}
+    assert kept == set(range(6))
+    out = without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    texts = [r["text"] for r in out.collect()]
+    assert len(texts) == len(set(texts))
+    assert all(brute.similarity(a, b) < 0.8 for k, a in enumerate(texts) for b in texts[k + 1:] if a and b)
+    assert near_duplicate_groups(docs).count() == docs.count()
+    assert without_near_duplicates(empty).count() == 0
+
+
+def test_decontamination_equals_brute_force(spark, docs, empty):
+    rows = hard_rows()
+    words = rows[9][1].split()
+    items = [(1, " ".join(words[100:130])), (2, "x x"), (3, None), (4, "..."), (5, " ".join(words[10:18])), (10, "two WORDS"), (11, "common line here")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted((v for v in brute.contamination([(k, r[1]) for k, r in enumerate(rows)], items).values()), key=str)
+    for limit in (500_000, 3):  # one set, and one for nearly every item
+        found = find_contamination(docs, bench, limit=limit, keep=["doc_id"])
+        got = pairs(found, "n_words", "n_hit", F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256), "contaminated")
+        assert got == want
+    clean = without_contaminated(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == sum(not v[-1] for v in want)
+    cut = remove_spans(find_contamination(docs, bench), out="clean_text")
+    assert not find_contamination(cut.filter("n_hit > 20"), bench, text="clean_text").filter("n_hit > 15").count()
+    assert find_contamination(empty, bench).count() == 0
+    assert not find_contamination(docs, bench.limit(0)).filter("contaminated").count()
+
+
+def test_lines_equal_brute_force(docs, empty):
+    got = pairs(drop_frequent_lines(docs, min_docs=3), "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
+    assert got == sorted(brute.lines([(r[0], r[1]) for r in hard_rows()], 3), key=str)
+    assert sum(r[2] for r in got) > 10
+    assert drop_frequent_lines(empty).count() == 0
+
+
+def test_urls(spark):
+    rules = [("block", "bad.org", "/"), ("allow", "bad.org", "/ok/"), ("block", "evil.net", "/")]
+    html = '<link rel="canonical" href="{}">'
+    rows = [
+        (0, "http://bad.org/x", None), (1, "https://Sub.BAD.org/ok/1?x#y", None), (2, None, None), (3, "no url", "x"),
+        (4, "http://alias.com/a", html.format("http://bad.org/y")), (5, "http://alias.com/a?utm_source=q#top", None),
+        (6, "http://mirror.com/b", '<meta http-equiv="refresh" content="0; url=//alias.com/a/">'), (7, "http://free.com/", ""),
+        (8, "http://both.com/c", html.format("http://bad.org/ok/2")), (9, "http://both.com/c", html.format("http://evil.net/z")),
+        (10, "http://notbad.org/x", None), (11, "http://loop.com/q", html.format("/q")), (11, "http://loop.com/q", html.format("/q"))]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, host string")
+    out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages, rules).collect()}
+    assert out[0] == ("bad.org", "/x", "bad.org/", "block")
+    assert out[1] == ("sub.bad.org", "/ok/1", "bad.org/ok/", "allow")
+    assert out[2] == out[3] == ("", "", None, "allow")
+    assert [out[k][3] for k in (4, 5, 6)] == ["block"] * 3
+    assert [out[k][3] for k in (7, 8, 9, 10, 11)] == ["allow"] * 5
+    moved = spark.createDataFrame([("http://free.com", "http://evil.net/1"), (None, "x")], "from_url string, to_url string")
+    assert {r["verdict"] for r in judge_urls(pages, rules, moved).filter("page_id = 7").collect()} == {"block"}
+    assert judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(0, k) for k in range(500, 560)] + [(k, k + 1) for k in range(600, 700)]
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame([*edges, (None, 3)], "a bigint, b bigint")).collect())
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    assert got == brute.components(nodes, [e for e in edges if e[0] != e[1]])
+
+
+def test_sharding(spark, docs, empty):
+    out = assign_shards(docs, limit=3000).collect()
+    assert len(out) == docs.count()
+    size, members = {}, {}
+    for r in out:
+        size[r["shard"]] = size.get(r["shard"], 0) + r["n_bytes"]
+        members.setdefault(r["shard"], set()).add((r["doc_id"], r["text"]))
+        assert len(r["shard"]) == r["shard_depth"]
+    assert all(size[s] <= 3000 or len(members[s]) == 1 for s in size)  # one document, or repeated rows
+    names = sorted(size)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))
+    parents = {}
+    for r in out:  # only buckets over the limit were split
+        for d in range(r["shard_depth"]):
+            parents[r["shard"][:d]] = parents.get(r["shard"][:d], 0) + r["n_bytes"]
+    assert all(v > 3000 for v in parents.values())
+    assert {r["shard"] for r in assign_shards(docs, limit=1 << 40).collect()} == {""}
+    assert assign_shards(empty).count() == 0
+
+
+def test_mixing_budgets(spark):
+    leaves = spark.createDataFrame(
+        [("a", "x", "1", 100), ("a", "x", "2", 1000), ("a", "y", "3", 50), ("b", "x", "4", 1000), ("b", "z", "5", 0)], "__l0 string, __l1 string, __l2 string, tokens bigint")
+    got = {r["__l2"]: r["quota"] for r in leaf_budgets(leaves, Mixture(weights=({"a": 3.0}, {}, {}), share=0.5, max_epochs=1)).collect()}
+    # 1075 tokens: a gets 806.25, of which y holds 50 only, so x gives 756.25: leaf 1 is full and leaf 2 meets the rest.
+    assert got == {"1": 100, "2": 656, "3": 50, "4": 268}
+    assert sum(got.values()) >= 1075 - len(got)
+
+
+def test_mixing_selection(docs, empty):
+    levels = [F.lit("d"), F.col("lang"), F.col("source")]
+    mix = Mixture(share=1.3, max_epochs=3)
+    out = select_mixture(docs, levels, mix)
+    assert out.count() == docs.count()
+    rows = out.collect()
+    have = sum(r["n_tokens"] for r in rows)
+    taken = sum(r["n_tokens"] * r["copies"] for r in rows)
+    assert 0.2 * have < taken <= 1.3 * have and max(r["copies"] for r in rows) <= 3
+    assert all(r["copies"] == 1 for r in rows if r["n_tokens"] == 0)
+    assert sorted(map(str, rows)) == sorted(map(str, select_mixture(docs.repartition(3), levels, mix).collect()))
+    assert mixed_documents(docs, levels, mix).count() == sum(r["copies"] for r in rows)
+    assert select_mixture(empty, levels, mix).count() == 0
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        words = prose(rng, 60).split(" ")
+        if bad:
+            for _ in range(2):
+                words.insert(rng.randrange(60), rng.choice(["vile", "nasty", "zorgfoo", "zorgbar", "zorgbaz", "zorgqu"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id bigint, toxic int")
+    model = toxicity.train_toxicity(df, known)
+    out = toxicity.score_toxicity(df, model).withColumn("held_out", toxicity.held_out()).collect()
+    truth = dict(labels)
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in out if r["held_out"]) > 0.97 * sum(r["held_out"] for r in out)
+    found = [r["text"].lower()[a:b] for r in out if r["predicted"] for a, b in r["toxic_spans"]]
+    assert sum(w.startswith(("vile", "nasty", "zorg")) for w in found) > 0.95 * len(found) > 0
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(docs, model).collect())
+    assert toxicity.score_toxicity(empty, model).count() == 0
+    nothing = toxicity.train_toxicity(df, known.limit(0))
+    assert not toxicity.score_toxicity(df, nothing).filter("predicted = 1").count()
+    kept = toxicity.without_toxic(df.withColumn("score", F.lit("x")), known)
+    assert kept.columns == ["doc_id", "text", "score"] and 400 < kept.count() < 480
+
+
+def test_marginals_equal_a_plain_chain():
+    import numpy as np
+
+    model = toxicity.ToxicityModel(emission=np.array([-2.0, 0.5, 1.0, 2.0, 0, 0, 0]), transition=np.array([[0.4, -0.3], [-0.2, 0.6]]))
+    levels = [0, 0, 1, 0, 3, 3, 0, 0, 0, 2, 0]
+    e = [np.exp([0.0, model.emission[k]]) for k in levels]
+    t = np.exp(model.transition)
+    fwd = [e[0]]
+    for x in e[1:]:
+        fwd.append((fwd[-1] @ t) * x)
+    back = [np.ones(2)]
+    for x in reversed(e[1:]):
+        back.append(t @ (x * back[-1]))
+    plain = [(f * b)[1] / (f @ b) for f, b in zip(fwd, reversed(back), strict=True)]
+    at = [i for i, k in enumerate(levels) if k]
+    assert np.allclose(toxicity.marginals(model, at, [levels[i] for i in at], len(levels)), [plain[i] for i in at])
+
+
+def test_secrets(spark, docs, empty):
+    rng = random.Random(8)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(200):
+        pick = [f'token = "{hexes(40)}"', f"password={hexes(18)}", f"see http://site.org/a/{hexes(16)}/page", f"file img{i:012d}.png", f"call +1-555-01{i:02d}-{i:04d}"][i % 5]
+        rows.append((i, prose(rng, 20) + " " + pick + " " + prose(rng, 10)))
+    out = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(out) >= 160 and all(0 <= r["score"] <= 1 for r in out)
+    assert all(r["is_secret"] for r in out if r["doc_id"] % 5 in (0, 1))
+    assert not any(r["is_secret"] for r in out if r["doc_id"] % 5 in (2, 3, 4))
+    assert secrets.scan_secrets(docs).count() >= 0
+    assert secrets.scan_secrets(empty).count() == 0
+
+
+def test_pipeline_keeps_what_its_stages_keep(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 80), "en", f"src{i % 15}", 0) for i in range(60)]
+    rows.append((1000, rows[3][1], "en", "src1", 0))
+    bench = " ".join(rows[5][1].split()[10:40])
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(ids) == len(set(ids)) and 1000 not in ids and 5 not in ids and 35 < len(ids) < 59
