@@ -77,20 +77,23 @@ def hamming_edges(fps: DataFrame, bits: int = 64, segment_bits: int = 4) -> Data
         f"concat(array(v),"
         f" transform(filter(array({step}), s -> (shiftrightunsigned(v, s) & {full}) < {segment_bits}), s -> v + shiftleft(1L, s)),"
         f" transform(filter(array({step}), s -> (shiftrightunsigned(v, s) & {full}) > 0), s -> v - shiftleft(1L, s)))")
+    vector = f"(({counts.format(own)}) | {band})"
+    # One exchange on (fp, c) serves the counts and the look-back: all three uses below are one query.
     cells = (
-        fps.select("fp").withColumn("v", F.expr(counts.format(own)))
-        .select("fp", "v", F.explode(F.expr(visits)).alias("c"), F.expr(band).alias("w")))
-    met = cells.groupBy("w", "c").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    met = stored(met)
+        fps.select("fp").withColumn("v", F.expr(vector)).select("fp", F.explode(F.expr(visits)).alias("c")).repartition("c"))
+    met = cells.groupBy("c").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     pairs = met.filter("n = 2 AND bit_count(a ^ b) <= 2").select("a", "b")
     # Half-way fingerprints of a visitor inside a cell: itself at home, else one bit of the segment that differs.
     inside = (
         f"CASE WHEN c = v THEN array(fp) ELSE transform(filter("
         f"sequence(bit_count(abs(c - v) - 1), bit_count(abs(c - v) - 1) + {segment_bits - 1}),"
         f" s -> (shiftrightunsigned(fp, s) & 1) = CASE WHEN c > v THEN 0 ELSE 1 END), s -> fp ^ shiftleft(1L, s)) END")
-    mids = (
-        cells.join(met.filter("n > 2").select("w", "c"), ["w", "c"], "left_semi")
-        .select("fp", F.explode(F.expr(inside)).alias("m")))
+    mids = stored(
+        cells.join(met.filter("n > 2").select("c").hint("shuffle_hash"), "c", "left_semi")
+        .withColumn("v", F.expr(vector)).select("fp", F.explode(F.expr(inside)).alias("m")).unionByName(
+            pairs.select(F.col("a").alias("fp"), F.col("b").alias("m")).withColumn("pair", F.lit(True)), allowMissingColumns=True))
+    pairs = mids.filter("pair").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    mids = mids.filter("pair IS NULL").select("fp", "m")
     # A midpoint has one cell, so it is a key by itself. Two rows of a star are needed, its smallest and each other.
     smallest = mids.groupBy("m").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("m", "a")
     stars = mids.join(smallest, "m").filter("fp > a").select("a", F.col("fp").alias("b"))
