@@ -188,8 +188,8 @@ def filter_summary(spark, sf) -> DataFrame:
 
 @query("t24_leakage_check", "feature:s n_issues:i n_containers:i", """
 SELECT feature, sum(issue) AS n_issues, count(*) AS n_containers FROM (
-  SELECT container_id, unnest(['target_lag_1', 'target_lag_2', 'target_lag_3', 'target_lag_4', 'target_lag_5']) AS feature,
-         unnest([target_lag_1 IS NOT NULL, target_lag_2 IS NOT NULL, target_lag_3 IS NOT NULL, target_lag_4 IS NOT NULL, target_lag_5 IS NOT NULL])::INT AS issue
+  SELECT container_id, unnest(['target_lag_1', 'target_lag_2', 'target_lag_3', 'target_lag_4', 'target_lag_5', 'target_lag_6', 'target_lag_7', 'target_lag_8', 'target_lag_9', 'target_lag_10']) AS feature,
+         unnest([target_lag_1 IS NOT NULL, target_lag_2 IS NOT NULL, target_lag_3 IS NOT NULL, target_lag_4 IS NOT NULL, target_lag_5 IS NOT NULL, target_lag_6 IS NOT NULL, target_lag_7 IS NOT NULL, target_lag_8 IS NOT NULL, target_lag_9 IS NOT NULL, target_lag_10 IS NOT NULL])::INT AS issue
   FROM (SELECT *, row_number() OVER (PARTITION BY container_id ORDER BY measured_at_utc) AS rn, count(*) OVER (PARTITION BY container_id) AS n FROM evf)
   WHERE rn = 1 AND n >= 3) GROUP BY 1""", ("evf",))
 def leakage_check(spark, sf) -> DataFrame:

@@ -38,13 +38,12 @@ def filter_summary(df: DataFrame, min_samples: int, key: str = "container_id") -
         F.coalesce(F.sum("n_samples"), F.lit(0)).alias("original_rows"))
 
 
-LEAKAGE_COLUMNS = 5
 LEAKAGE_MIN_ROWS = 3
 
 
 def leakage_issues(df: DataFrame, features: list[str], long: LongSeries | None = None) -> DataFrame:
-    """Lag columns that are set in a container's first row, counted over all containers."""
-    lags = [c for c in features if "lag" in c.lower() and c in df.columns][:LEAKAGE_COLUMNS]
+    """Every lag column that is set in a container's first row, counted over all containers."""
+    lags = [c for c in features if "lag" in c.lower() and c in df.columns]
     sizes = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAKAGE_MIN_ROWS).select(*KEY)
     slim = df.select(*KEY, "measured_at_utc", "percent_calculated", *lags)
     first = positions(slim, KEY, time_order(), long).filter("_pos = 1").join(sizes, KEY, "left_semi")

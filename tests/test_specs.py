@@ -66,6 +66,8 @@ def test_sanitized_names_map_back(spark):
     assert [back[c] for c in clean.columns] == df.columns
     clash = encode.safe_names(["a b", "a_b", "a-b"])
     assert len(set(clash.values())) == 3 and clash == encode.safe_names(["a b", "a_b", "a-b"])
+    tricky = encode.safe_names(["a_b", "a_b_2", "a b", "a-b"])
+    assert tricky["a_b"] == "a_b" and tricky["a_b_2"] == "a_b_2" and len(set(tricky.values())) == 4
 
 
 def pairs(spark, y, p):
