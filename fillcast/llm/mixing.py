@@ -67,9 +67,10 @@ def leaf_budgets(leaves: DataFrame, mix: Mixture) -> DataFrame:
     """
     l0, l1, l2 = LEVELS
     base = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs).filter("tokens > 0")
-    total = base.agg(F.sum("tokens").alias("t"), F.sum("capacity").alias("c")).select(F.least(F.floor(F.col("t") * F.lit(mix.share)), F.col("c")).alias("budget"))
+    budget = F.least(F.floor(F.sum("tokens") * F.lit(mix.share)), F.sum("capacity"))
+    total = base.agg(budget.cast("long").alias("budget")).first()["budget"] or 0  # one number
     tops = base.groupBy(l0).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(l0, mix.weights[0]))
-    tops = tops.withColumn("__all", F.lit(0)).join(F.broadcast(total.withColumn("__all", F.lit(0))), "__all")  # one row
+    tops = tops.withColumns({"__all": F.lit(0), "budget": F.lit(total)})
     top = _share_out(tops, ["__all"], l0).select(l0, F.col("share").alias("budget"))
     mids = base.groupBy(l0, l1).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(l1, mix.weights[1]))
     mid = _share_out(mids.join(top, l0), [l0], l1).select(l0, l1, F.col("share").alias("budget"))

@@ -72,17 +72,17 @@ def _bare(word: Column) -> Column:
     return ascii_lower(F.btrim(word, F.lit(_EDGE + "=:")))
 
 
-def add_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Add FEATURES and hashed neighbours. `dictionary` has one row with the array `dictionary`."""
+def add_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
+    """Add FEATURES and hashed neighbours. `dictionary` has at most DICTIONARY_WORDS words."""
     v = F.col("value")
     size = F.greatest(F.length(v), F.lit(1)).cast("double")
     key = ascii_lower(F.regexp_extract("word", "([A-Za-z_-]+)[=:]", 1))
     keyword = F.array(*[F.lit(k) for k in KEYWORDS])
     runs = F.regexp_extract_all(ascii_lower(v), F.lit(r"[^\x00-\x60\x7B-\x7F]{3,}"), F.lit(0))
-    rows = found.join(F.broadcast(dictionary))  # one row of at most DICTIONARY_WORDS words
-    known = F.aggregate(F.filter(runs, lambda w: F.array_contains("dictionary", w)), F.lit(0), lambda s, w: s + F.length(w))
+    listed = F.array(*[F.lit(w) for w in dictionary]).cast("array<string>")
+    known = F.aggregate(F.filter(runs, lambda w: F.array_contains(listed, w)), F.lit(0), lambda s, w: s + F.length(w))
     flag = lambda c: c.cast("double")
-    rows = rows.withColumns({
+    rows = found.withColumns({
         "f_length": size, "f_classes": sum(flag(v.rlike(p)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")),
         "f_changes": (_count(v, "[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+") - 1) / size,
         "f_digit_letter": _count(v, "(?<=[0-9])[A-Za-z]") / size, "f_letter_digit": _count(v, "(?<=[A-Za-z])[0-9]") / size,
@@ -96,7 +96,7 @@ def add_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         "f_keyword_before": flag(F.array_contains(keyword, _bare(F.col("before"))) | F.array_contains(keyword, _bare(F.col("before2"))))})
     bucket = {"before": F.when(F.length(key) > 0, key).otherwise(_bare(F.col("before"))), "after": _bare(F.col("after"))}
     hashed = {f"f_{side}_{k}": flag(F.pmod(F.hash(c), F.lit(NEIGHBOUR_BUCKETS)) == k) for side, c in bucket.items() for k in range(NEIGHBOUR_BUCKETS)}
-    return rows.withColumns(hashed).drop("dictionary")
+    return rows.withColumns(hashed)
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
@@ -121,10 +121,8 @@ def scan_secrets(
     If all have one label, that label is every score; with no labelled finding the score is 0. The dictionary
     counts all documents. Repeated rows give repeated findings.
     """
-    spark = docs.sparkSession
     names = [id_col] if keep is None else keep
-    words = corpus_dictionary(docs, text)
-    dictionary = spark.sql("SELECT 1 AS one").select(F.array(*[F.lit(w) for w in words]).cast("array<string>").alias("dictionary"))
+    dictionary = corpus_dictionary(docs, text)
     found = stored(find_candidates(docs, text, names))
     featured = add_features(found, dictionary)
     sample = rule_labels(featured) if labelled is None else add_features(labelled, dictionary)
