@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +10,15 @@ from fillcast.catalog.inputs import (
 from fillcast.catalog.registry import query
 from fillcast.functions import columns as fx
 from fillcast.operators import calendar, cleaning, encode, events, grid, spatial
+from fillcast.operators.ordered import shared_folder
 from fillcast.sources import tables
 
 KEYS = "container_id:i measured_at_utc:u"
 
 
 def _out_dir(spark) -> str:
-    """A new folder for a round trip through a file; below the shared folder when there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/fillcast-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="fillcast-table-")
+    """A new folder for a round trip through a file, below the shared folder."""
+    return shared_folder(spark)
 
 
 @query("s01_readings_csv", KEYS + " percent_calculated:f trash_type:s container_type:s district:s latitude:f longitude:f temperature:f firealarm:f",
@@ -248,7 +243,7 @@ def event_holidays(spark, sf) -> DataFrame:
 SELECT least(60, count(DISTINCT container_id)) AS n_clusters, count(DISTINCT container_id) AS n_containers FROM clean
 """, ("clean",))
 def spatial_clusters(spark, sf) -> DataFrame:
-    found = spatial.cluster_containers(clean(spark, sf), CHECKED.with_(geo_min_containers=1))
+    found = spatial.cluster_containers(clean(spark, sf), CHECKED)
     return found.agg(F.countDistinct("geo_cluster").alias("n_clusters"), F.countDistinct("container_id").alias("n_containers"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -14,7 +12,7 @@ from fillcast.catalog.metrics import PAIR_SCORES, SCORES
 from fillcast.catalog.registry import query
 from fillcast.catalog.splits import held_out
 from fillcast.operators import baselines, metrics
-from fillcast.operators.ordered import stored
+from fillcast.operators.ordered import shared_folder, stored
 from fillcast.plans import studies, tables
 from fillcast.plans.experiments import Training, comparison_table, run_event_task, run_threshold_task, run_time_task
 from fillcast.plans.features import Source, event_table, threshold_table, time_table
@@ -223,8 +221,7 @@ def summary(spark, sf) -> DataFrame:
 
 @query("x14_full_job", "experiment:s model_type:s model:s n:i rmse:f mae:f r2:f")
 def full_job(spark, sf) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    out = f"{shared.rstrip('/')}/fillcast-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="fillcast-job-")
+    out = shared_folder(spark)
     settings = CHECKED.with_(folds=2, stability_seeds=(42,))
     found = run_job(spark, raw_readings(spark, sf).drop("humidity"), out, weather_fine(spark, sf), "AB", settings, ONE, with_segments=False)
     return tables.results_table(spark, found["results"])

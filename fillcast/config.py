@@ -34,7 +34,7 @@ class Settings:
     center_lat: float = 50.0812
     center_lon: float = 14.4269
     geo_clusters: int = 60
-    geo_min_containers: int = 200
+    geo_min_containers: int = 1
 
     # emptying detection
     drop_threshold: float = -30.0
@@ -66,8 +66,8 @@ class Settings:
     bootstrap_rounds: int = 1000
     ci_level: float = 0.95
     trials: int = 50
-    tuning_seconds: int = 1800
-    importance_rows: int = 1000
+    tuning_seconds: int | None = None
+    importance_rows: int | None = None
     correlation_threshold: float = 0.95
 
     # category encoding
@@ -92,11 +92,11 @@ class Settings:
     weather_windows: tuple[int, ...] = (6, 12, 24, 48)
     weather_event_lags: tuple[int, ...] = (1, 2, 3)
 
-    # per-series forecasters
-    forecast_containers: int = 50
-    rolling_containers: int = 30
-    rolling_origins: int = 100
-    forecast_head: int = 50
+    # per-series forecasters: None is everything
+    forecast_containers: int | None = None
+    rolling_containers: int | None = None
+    rolling_origins: int | None = None
+    forecast_head: int | None = None
 
     # a series longer than this is cut into blocks of this many rows, so
     # that no task ever sorts more than one block (plus its overlap)

@@ -92,21 +92,52 @@ class TrainedModel:
         return sorted(zip(self.matrix.names, map(float, values)), key=lambda p: -p[1])
 
 
+#: Rounds without a better validation score after which later trees do not count (fixed value).
+PATIENCE = 20
+
+
+def best_round(errors: list[float], patience: int = PATIENCE) -> int:
+    """The round (from 1) with the least error before `patience` rounds in a row bring nothing better."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def _fit_with_patience(learner: GBTRegressor, rows: DataFrame) -> GBTRegressionModel:
+    """Fit the whole budget of trees, score every round on the `_val` rows, and keep the best round.
+
+    Boosting with one seed repeats its first rounds, so a shorter fit is the cut model.
+    """
+    inner = rows.filter(~F.col("_val"))
+    fitted = learner.fit(inner)
+    held = rows.filter("_val")
+    if held.isEmpty():
+        return fitted
+    rounds = best_round(list(fitted.evaluateEachIteration(held, "squared")))
+    return fitted if rounds == fitted.getNumTrees else learner.copy({learner.maxIter: rounds}).fit(inner)
+
+
 def train_model(
     name: str, train: DataFrame, columns: list[str], validation: DataFrame | None = None,
     params: dict | None = None, limits: tuple[float, float] = (0.0, 100.0), target: str = "target",
     settings: Settings = DEFAULTS, seed: int | None = None,
 ) -> TrainedModel:
-    """Fit one preset; validation rows (or, for a self-validating preset, a hashed tenth of the
-    training rows) decide when to stop adding trees."""
+    """Fit one preset; validation rows (or, for a self-validating preset, always a hashed tenth of the
+    training rows, so it never stops on the rows it is scored on) decide how many trees to keep."""
     chosen = dict(PRESETS[name] if params is None else params)
+    if name in SELF_VALIDATING:
+        validation = None
     matrix = FeatureMatrix.fit(train, columns)
 
     def assembled(df: DataFrame, held: Column) -> DataFrame:
         return matrix.transform(df.withColumn("_val", held)).select(target, "_val", "features")
 
     held = F.lit(False)
-    if validation is None and name in SELF_VALIDATING:
+    if name in SELF_VALIDATING:
         ids = [c for c in ("container_id", "measured_at_utc") if c in train.columns] or [target]
         held = F.pmod(F.xxhash64(F.lit(settings.seed), *ids), F.lit(100)) < SELF_VALIDATION_PERCENT
     rows = assembled(train, held)
@@ -114,12 +145,10 @@ def train_model(
         rows = rows.unionByName(assembled(validation, F.lit(True)))
     stops = validation is not None or name in SELF_VALIDATING
     learner = GBTRegressor(featuresCol="features", labelCol=target, seed=settings.seed if seed is None else seed, **chosen)
-    if stops:
-        learner = learner.setValidationIndicatorCol("_val")
     cached = rows.cache()
     started = time.monotonic()
     try:
-        fitted = learner.fit(cached)
+        fitted = _fit_with_patience(learner, cached) if stops else learner.fit(cached)
     finally:
         cached.unpersist()
     info = {"train_time": time.monotonic() - started, "n_iter": fitted.getNumTrees, "params": chosen}
@@ -174,11 +203,12 @@ def search(
     """Seeded random search: least mean RMSE over container folds. Returns (best, trial table)."""
     rng = random.Random(settings.seed)
     folds = holdout_folds(train, settings.tuning_folds, settings.seed, cutoff=False, long=long, settings=settings).cache()
-    deadline = time.monotonic() + (settings.tuning_seconds if seconds is None else seconds)
+    limit = settings.tuning_seconds if seconds is None else seconds
+    deadline = None if limit is None else time.monotonic() + limit
     rows: list[tuple] = []
     try:
         for number in range(settings.trials if trials is None else trials):
-            if rows and time.monotonic() > deadline:
+            if rows and deadline is not None and time.monotonic() > deadline:
                 break
             params = draw_params(name, rng, space)
             scores = []
@@ -211,17 +241,17 @@ def pick_winner(comparison: DataFrame, metric: str = "rmse") -> DataFrame:
 
 # -- importance -----------------------------------------------------------------
 
-def _sample(df: DataFrame, rows: int, settings: Settings, salt: int) -> DataFrame:
-    """At most `rows` rows by hash order, numbered from 1."""
+def _sample(df: DataFrame, rows: int | None, settings: Settings, salt: int) -> DataFrame:
+    """All rows, or at most `rows`, numbered from 1 in hash order."""
     ids = [c for c in ("container_id", "measured_at_utc", "target") if c in df.columns]
-    n = df.count()
-    if n > 4 * rows:  # thin out before ordering
+    n = 0 if rows is None else df.count()
+    if rows is not None and n > 4 * rows:  # thin out before ordering
         share = 2.0 * rows / n
         keep = F.pmod(F.xxhash64(F.lit(salt + 1), *ids), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
         df = df.filter(keep)
     order = df.withColumn("_h", F.xxhash64(F.lit(salt), *ids))
     ranked = global_positions(order, [F.col("_h"), *[F.col(c) for c in ids]], "_i", settings.block_rows)
-    return ranked.filter(F.col("_i") <= rows).drop("_h")
+    return (ranked if rows is None else ranked.filter(F.col("_i") <= rows)).drop("_h")
 
 
 def shapley_importance(
@@ -230,9 +260,9 @@ def shapley_importance(
 ) -> DataFrame:
     """Mean absolute Shapley contribution per feature, by sampled feature orders.
 
-    Every sampled test row is paired with a sampled training row; walking through a random
-    feature order swaps one value after another, and all steps are scored in one batch.
-    The result is an estimate from `rows` x `permutations` walks.
+    Every test row is paired with a training row, in hash order and starting over where there are fewer of
+    them; walking through a random feature order swaps one value after another, and all steps are scored
+    in one batch. The result is an estimate from rows x `permutations` walks; `rows` may limit both sides.
     """
     limit = settings.importance_rows if rows is None else rows
     names = model.matrix.names
@@ -243,8 +273,9 @@ def shapley_importance(
     owners = F.array(*[F.lit(index[c]) for c in owner])
     players = len(model.matrix.columns)
     left = model.matrix.transform(_sample(test, limit, settings, 1)).select("_i", F.col("_x").alias("_own"))
-    right = model.matrix.transform(_sample(train, limit, settings, 2)).select("_i", F.col("_x").alias("_other"))
-    pairs = left.join(right, "_i")
+    others = stored(model.matrix.transform(_sample(train, limit, settings, 2)).select(F.col("_i").alias("_j"), F.col("_x").alias("_other")))
+    turn = F.pmod(F.col("_i") - 1, F.lit(max(1, others.count()))) + 1
+    pairs = left.withColumn("_j", turn).join(others, "_j").drop("_j")
     walks = pairs.withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     # rank of every feature in this walk's order
     keys = F.transform(F.sequence(F.lit(0), F.lit(players - 1)),

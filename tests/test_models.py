@@ -133,3 +133,28 @@ def test_rolling_forecast_compares_aligned_steps():
     ar = out[out["model"] == "autoregressive"]
     np.testing.assert_allclose(ar["predicted"], ar["actual"], atol=1e-6)
     assert len(ar) == 10 and ar["actual"].iloc[0] == (70 + 3) / 2
+
+
+def test_patience_passes_a_first_small_gain():
+    falling = [100.0 - 0.1 * k for k in range(60)]
+    assert model.best_round(falling) == 60
+    assert model.best_round([5.0, 4.0, *[4.5] * 19, 3.0]) == 2 + 20  # the better round comes within the patience
+    assert model.best_round([5.0, 4.0, *[4.5] * 20, 3.0]) == 2
+    assert model.best_round([1.0]) == 1
+
+
+def test_balanced_does_not_stop_on_the_scored_fold(rows):
+    params = {"maxIter": 4, "maxDepth": 3}
+    columns = ["a", "b", "c"]
+    alone = model.train_model("balanced", rows, columns, None, params)
+    beside = model.train_model("balanced", rows, columns, rows.filter("a > 5"), params)
+    assert alone.info["n_iter"] == beside.info["n_iter"]
+    a, b = (m.predict(rows).agg({"predicted": "sum"}).first()[0] for m in (alone, beside))
+    assert a == pytest.approx(b)
+
+
+def test_forecasts_take_every_container(spark):
+    t = pd.date_range("2024-01-01", periods=60, freq="6h")
+    pdf = pd.concat([pd.DataFrame({"container_id": c, "measured_at_utc": t, "y": 40 + 10 * np.sin(np.arange(60) / 3 + c)}) for c in range(55)])
+    found = forecasting.ar_forecasts(spark.createDataFrame(pdf), "y")
+    assert found.select("container_id").distinct().count() == 55
