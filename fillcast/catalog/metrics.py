@@ -73,7 +73,23 @@ def paired_t(spark, sf) -> DataFrame:
     return metrics.paired_test(predictions(spark, sf), "ttest", first="predicted", second="baseline")
 
 
-@query("m07c_paired_tests", "test:s n_pairs:i statistic:f p_value:f stars:s")
+# Tails by Simpson's rule over the densities.
+_TESTS = """
+WITH signed AS (SELECT count(*) AS k, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS w FROM gaps),
+ties AS (SELECT sum(c * c * c - c) AS tie FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM gaps GROUP BY a)),
+given AS (
+  SELECT 'wilcoxon' AS test, (SELECT count(*) FROM pairs) AS n_pairs, w AS statistic, abs(w - k * (k + 1) / 4.0) / sqrt(k * (k + 1.0) * (2 * k + 1) / 24 - tie / 48) AS x FROM signed, ties
+  UNION ALL SELECT 'ttest', count(*), avg(d) / (stddev_samp(d) / sqrt(count(*))), abs(avg(d) / (stddev_samp(d) / sqrt(count(*))))
+  FROM (SELECT abs(actual - predicted) - abs(actual - baseline) AS d FROM pairs)),
+steps AS (SELECT *, x * i / 4000 AS u, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS weight FROM given, (SELECT unnest(range(4001)) AS i)),
+tails AS (
+  SELECT test, n_pairs, statistic, greatest(0, 1 - 2 * any_value(x) / 12000 * sum(weight * CASE WHEN test = 'wilcoxon' THEN exp(-u * u / 2) / sqrt(2 * pi())
+    ELSE exp(lgamma(n_pairs / 2.0) - lgamma((n_pairs - 1) / 2.0) - n_pairs / 2.0 * ln(1 + u * u / (n_pairs - 1))) / sqrt(pi() * (n_pairs - 1)) END)) AS p_value
+  FROM steps GROUP BY 1, 2, 3)
+SELECT *, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS stars FROM tails"""
+
+
+@query("m07c_paired_tests", "test:s n_pairs:i statistic:f p_value:f stars:s", _TESTS, ("gaps",))
 def paired_tests(spark, sf) -> DataFrame:
     rows = predictions(spark, sf)
     return metrics.paired_test(rows, "wilcoxon", first="predicted", second="baseline").unionByName(

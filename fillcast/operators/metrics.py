@@ -78,18 +78,23 @@ def bootstrap_intervals(
 ) -> DataFrame:
     """Percentile intervals of RMSE and MAE from resampled buckets of rows.
 
-    Rows are reduced to sums per random bucket in one pass; each replicate draws every bucket
-    a Poisson(1) number of times, from a hash of (seed, bucket, replicate). The resampling
-    work is rounds x buckets whatever the number of rows; with few rows it is close to the
-    ordinary row bootstrap. Buckets are drawn, not hashed from the row, so that copies of a
-    row count as separate observations.
+    Rows are reduced to sums per bucket; each replicate draws every bucket a Poisson(1) number
+    of times, from a hash of (seed, bucket, replicate). The resampling work is rounds x buckets
+    whatever the number of rows; with few rows it is close to the ordinary row bootstrap. Copies
+    of a pair count as separate observations: they are counted first and dealt in turn to the
+    buckets from the pair's hash on, so a result depends neither on partitioning nor on lost tasks.
     """
     n = rounds or settings.bootstrap_rounds
-    _, _, e = _y(actual, predicted)
-    pairs = complete_pairs(df, actual, predicted)
-    bucket = F.floor(F.rand(settings.seed) * buckets)
-    sums = pairs.withColumn("_bucket", bucket).groupBy(*by, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(e * e).alias("_sq"), F.sum(F.abs(e)).alias("_ab"))
+    y, p, e = _y(actual, predicted)
+    pairs = complete_pairs(df, actual, predicted).groupBy(*by, y.alias("_y"), p.alias("_p")).agg(
+        F.count(F.lit(1)).alias("_copies"), F.first(e).alias("_e"))
+    turn = F.explode(F.sequence(F.lit(0), F.least(F.col("_copies"), F.lit(buckets)) - 1)).alias("_turn")
+    dealt = pairs.select(*by, "_y", "_p", "_e", "_copies", turn)
+    each = F.floor(F.col("_copies") / buckets) + (F.col("_turn") < F.col("_copies") % buckets).cast("long")
+    bucket = F.pmod(F.xxhash64(F.lit(settings.seed), "_y", "_p") + F.col("_turn"), F.lit(buckets))
+    error = F.col("_e")
+    sums = dealt.withColumns({"_each": each, "_bucket": bucket}).groupBy(*by, "_bucket").agg(
+        F.sum("_each").alias("_n"), F.sum(F.col("_each") * error * error).alias("_sq"), F.sum(F.col("_each") * F.abs(error)).alias("_ab"))
     drawn = sums.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
         "_times", poisson_one(F.xxhash64(F.lit(settings.seed), "_bucket", "_round")))
     times = F.col("_times")
@@ -133,7 +138,8 @@ def metrics_with_intervals(
 
 # -- paired tests --------------------------------------------------------------
 
-MIN_PAIRS = 10
+# Pairs a test needs, and pairs up to which signed ranks are counted exactly.
+MIN_PAIRS, EXACT_PAIRS = 10, 50
 
 
 def _stars(p: Column) -> Column:
@@ -174,13 +180,18 @@ def paired_test(
     df: DataFrame, kind: str = "wilcoxon", actual: str = "actual", first: str = "model",
     second: str = "baseline", settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Statistic, two-sided p-value and stars. p comes from the normal approximation, which
-    the sample sizes here justify; below ten pairs there is no result."""
+    """Statistic, two-sided p-value and stars; below ten pairs there is no result.
+
+    The t test takes the t distribution. The signed-rank test takes the exact distribution for up to
+    EXACT_PAIRS pairs without ties and zero differences, and otherwise the normal approximation.
+    """
     if kind == "wilcoxon":
         row = wilcoxon_statistic(df, actual, first, second, settings).first()
         pairs, n = row["n_pairs"], row["n_nonzero"]
         statistic, p = (0.0, 1.0) if n == 0 else (min(row["w_plus"], row["w_minus"]), None)
-        if n:
+        if n and n <= EXACT_PAIRS and n == pairs and not row["tie_term"]:
+            p = signed_rank_tail(statistic, n)
+        elif n:
             spread = math.sqrt(max(n * (n + 1) * (2 * n + 1) / 24 - row["tie_term"] / 48, 0.0))
             p = normal_tail((statistic - n * (n + 1) / 4) / spread) if spread else 1.0
     elif kind == "ttest":
@@ -188,7 +199,7 @@ def paired_test(
             F.count("_d").alias("n"), F.avg("_d").alias("m"), F.stddev_samp("_d").alias("s")).first()
         pairs = row["n"]
         statistic = row["m"] / (row["s"] / math.sqrt(pairs)) if pairs > 1 and row["s"] else None
-        p = normal_tail(statistic) if statistic is not None else None
+        p = student_tail(statistic, pairs - 1) if statistic is not None else None
     else:
         raise ValueError(f"unknown test {kind!r}")
     if pairs < MIN_PAIRS:
@@ -202,8 +213,41 @@ def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def student_tail(t: float, freedom: int) -> float:
+    """Two-sided tail of Student's t; the normal one beyond a million degrees, where they agree."""
+    if freedom > 1_000_000:
+        return normal_tail(t)
+    return incomplete_beta(freedom / 2, 0.5, freedom / (freedom + t * t))
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction, taken from the far end."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):  # the fraction converges fast below this point
+        return 1.0 - incomplete_beta(b, a, 1.0 - x)
+    tail = 1.0
+    for m in range(50 + 5 * math.isqrt(int(max(a, b))), 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        tail = 1.0 + even / (1.0 + odd / tail)
+    tail = 1.0 - (a + b) * x / (a + 1) / tail
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(front) / a / tail
+
+
+def signed_rank_tail(statistic: float, n: int) -> float:
+    """Two-sided exact tail of the signed-rank sum: every set of ranks from 1 to n is equally likely."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return min(1.0, 2.0 * sum(ways[: int(statistic) + 1]) / 2.0 ** n)
+
+
 # -- threshold decisions -------------------------------------------------------
 
+# Decision thresholds and shares.
 FILL_DECISIONS = (70.0, 80.0, 85.0, 90.0)
 DAY_DECISIONS = (1.0, 2.0, 3.0, 5.0)
 TOP_SHARES = (5, 10, 15, 20, 25, 30)

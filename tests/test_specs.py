@@ -124,6 +124,28 @@ def test_paired_tests_against_exact_rules(spark):
     assert equal["p_value"] == 1.0
 
 
+def test_small_samples_take_exact_tails(spark):
+    assert metrics.student_tail(2.262157, 9) == pytest.approx(0.05, abs=1e-6)
+    assert metrics.student_tail(12.7062, 1) == pytest.approx(0.05, abs=1e-6)
+    assert metrics.student_tail(0.0, 9) == pytest.approx(1.0) and metrics.student_tail(-3.0, 20) == metrics.student_tail(3.0, 20)
+    for n, w in ((5, 0), (10, 8), (11, 33)):
+        sums = [sum(k + 1 for k in range(n) if m >> k & 1) for m in range(1 << n)]
+        assert metrics.signed_rank_tail(w, n) == pytest.approx(min(1.0, 2 * sum(x <= w for x in sums) / 2 ** n))
+    # ten pairs whose gaps have ranks 1 to 10, the three least of them positive
+    rows = [(0.0, 10.0 + (g if g <= 3 else -g), 10.0) for g in range(1, 11)]
+    got = metrics.paired_test(spark.createDataFrame(rows, "actual double, model double, baseline double")).first()
+    assert got["statistic"] == 6 and got["p_value"] == pytest.approx(metrics.signed_rank_tail(6, 10)) and got["stars"] == "*"
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rows = [(float(i % 7), float(i % 5) + i / 90) for i in range(300)] + [(3.0, 4.0)] * 200
+    df = spark.createDataFrame(rows, "actual double, predicted double")
+    first, second = (metrics.bootstrap_intervals(df.repartition(k), rounds=50, buckets=64).first() for k in (1, 7))
+    assert list(first) == pytest.approx(list(second)) and first["rmse_ci_lower"] < first["rmse_ci_upper"]
+    one = metrics.bootstrap_intervals(spark.createDataFrame([(1.0, 3.0)] * 1000, df.schema), rounds=20, buckets=16).first()
+    assert list(one) == pytest.approx([2.0] * 4)  # copies fill all buckets
+
+
 def test_readings_need_their_columns(spark):
     with pytest.raises(ValueError, match="percent_calculated"):
         tables.conform_readings(spark.sql("SELECT 1L AS container_id, timestamp_ntz'2024-01-01' AS measured_at_utc, 'x' AS trash_type"))
