@@ -172,7 +172,7 @@ def remove_spans(docs: DataFrame, text: str = "text", spans: str = "hit_spans",
             cleaned = []
             for body, ranges in zip(batch.column(at).to_pylist(), batch.column(where).to_pylist(), strict=True):
                 raw = (body or "").encode()
-                found = [m.span() for m in _word.finditer(raw)]
+                found = [m.span() for m in _word.finditer(raw.lower())]  # A-Z only: offsets stay those of the text
                 parts, last = [], 0
                 for a, b in ranges or []:
                     parts.append(raw[last:found[a][0]])

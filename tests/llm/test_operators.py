@@ -164,6 +164,8 @@ def test_decontamination_equals_brute_force(spark, docs, empty):
     assert clean.columns == docs.columns and clean.count() == sum(not v[-1] for v in want)
     cut = remove_spans(find_contamination(docs, bench), out="clean_text")
     assert not find_contamination(cut.filter("n_hit > 20"), bench, text="clean_text").filter("n_hit > 15").count()
+    loud = spark.createDataFrame([(1, "KEEP Me. TWO Words, ok"), (2, None)], "doc_id bigint, text string")
+    assert {r[0]: r[1] for r in remove_spans(find_contamination(loud, bench)).select("doc_id", "clean_text").collect()} == {1: "KEEP Me. , ok", 2: ""}
     assert find_contamination(empty, bench).count() == 0
     assert not find_contamination(docs, bench.limit(0)).filter("contaminated").count()
 
