@@ -11,12 +11,12 @@ within two bits of each other, so a star to the smallest one links the same sets
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,32 +123,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 MIN_SIMILARITY = 0.8
 SIMILAR_SHINGLE_WORDS = 5
-BANDS, BAND_BITS, BAND_SEGMENT = 6, 48, 2
-_WORD_CACHE = 300_000
-
-
-def _word_bands(bodies: list[bytes]) -> tuple[list[int], list[list[int]]]:
-    """Of each text: a hash of its word sequence, and SimHash bands over its distinct words."""
-    size = BANDS * BAND_BITS // 8
-    cache: dict[bytes, bytes] = {}
-    hashes, bands = [], []
-    for body in bodies:
-        tokens = word_pattern.findall(body.lower())
-        hashes.append(xxhash.xxh3_64_intdigest(b" ".join(tokens)) - (1 << 63))
-        own = set(tokens) or {b""}
-        digests = []
-        for w in own:
-            d = cache.get(w)
-            if d is None:
-                if len(cache) >= _WORD_CACHE:
-                    cache.clear()
-                d = cache[w] = hashlib.blake2b(w, digest_size=size).digest()
-            digests.append(d)
-        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8)).reshape(-1, size * 8).sum(axis=0, dtype=np.int64)
-        packed = np.packbits(bits * 2 > len(own)).tobytes()
-        step = BAND_BITS // 8
-        bands.append([(k << BAND_BITS) | int.from_bytes(packed[k * step:(k + 1) * step], "big") for k in range(BANDS)])
-    return hashes, bands
+#: Common shingles are looked for in one of SAMPLE_OF texts; those in HOT_COUNT sampled texts or more come last in
+#: the order of shingles, HOT_SHINGLES of them at most. Any order finds every pair, a good one makes few candidates.
+SAMPLE_OF, HOT_COUNT, HOT_SHINGLES = 8, 4, 200_000
+
+
+def _word_hash(body: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(word_pattern.findall(body.lower()))) - (1 << 63)
+
+
+def _shingle_hashes(body: bytes, n: int) -> np.ndarray:
+    own = set(_shingles(body, n))
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in own), np.uint64, len(own)).view(np.int64))
+
+
+def _prefix_length(size: int, least: float) -> int:
+    """So many first shingles, in any order all texts share, must have one of each text that is similar enough."""
+    return min(size, size - math.ceil(least * size - 1e-9) + 1)
 
 
 def _similar(a: bytes, b: bytes, n: int, least: float) -> bool:
@@ -157,6 +148,50 @@ def _similar(a: bytes, b: bytes, n: int, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both) and both > 0
 
 
+def _hot_shingles(signed: DataFrame) -> np.ndarray:
+    """Hashes of common shingles, the rarest first."""
+    counts = (
+        signed.filter("sample IS NOT NULL").groupBy("wh").agg(F.any_value("sample").alias("sample"))
+        .select(F.explode("sample").alias("s")).groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") >= HOT_COUNT))
+    top = counts.orderBy(F.desc("k"), "s").limit(HOT_SHINGLES).toArrow()
+    return top.column("s").to_numpy()[::-1].copy()
+
+
+def _prefixes(rows: DataFrame, text: str, n: int, least: float, hot: np.ndarray) -> DataFrame:
+    """Rows (wh, size, s, at): of each distinct text its number of shingles and its first ones with their places."""
+    shared = rows.sparkSession.sparkContext.broadcast((np.sort(hot), np.argsort(hot)))
+    fields = [T.StructField("wh", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType()))]
+
+    def start():
+        common, ranks = shared.value
+
+        def compute(texts: list[bytes]) -> list[pa.Array]:
+            sizes, firsts = [], []
+            for body in texts:
+                own = _shingle_hashes(body, n)
+                rank = np.full(len(own), -1, dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    rank = np.where(common[at] == own, ranks[at], -1)
+                sizes.append(len(own))
+                firsts.append(own[np.argsort(rank, kind="stable")[:_prefix_length(len(own), least)]])
+            return [
+                pa.array([_word_hash(t) for t in texts], pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+
+        return compute
+
+    found = with_text_columns(rows, text, fields, start, keep=[])
+    each = found.groupBy("wh").agg(F.any_value("size").alias("size"), F.any_value("first").alias("first"))
+    return each.select("wh", "size", F.posexplode("first").alias("at", "s"))
+
+
+def _may_pass(least: float) -> str:
+    """Whether the sizes of x and y, and what follows their first common shingle, leave enough in common."""
+    return (
+        f"least(x.size, y.size) >= {least} * greatest(x.size, y.size) - 1e-6 AND "
+        f"least(x.size - x.at, y.size - y.at) >= {least / (1 + least)} * (x.size + y.size) - 1e-6")
+
+
 def near_duplicate_groups(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     n: int = SIMILAR_SHINGLE_WORDS, least: float = MIN_SIMILARITY,
@@ -164,39 +199,35 @@ def near_duplicate_groups(
     """Rows (__id, __h1, __h2, group, first): every document key with its group, and whether it comes first.
 
     Texts with equal word sequences are one text. Others link if the Jaccard similarity of their `n`-word
-    shingles is `least` or more, checked on whole texts. Candidates come from six 48-bit SimHash bands over
-    the distinct words, linked at two bits or fewer. A link at similarity 0.8 changes about one word in
-    45, so a bit differs with probability 0.07, and some band is close enough for 91 % of such pairs; at 0.9
-    it is 99.7 %. The first of a group has its smallest (id, text hash); NULL ids come last.
+    shingles is `least` or more, checked on whole texts; groups are the components of all such links. Candidates
+    are complete: two similar texts share a shingle among the first `_prefix_length` ones of each, in an order
+    that puts common shingles last. Neighbours by size among the texts with a shingle are compared first; then
+    all candidates that these links leave in different groups. The first of a group has its smallest
+    (id, text hash); NULL ids come last.
     """
     rows = keyed(docs.select(id_col, text), id_col, text)
-    fields = [T.StructField("wh", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("wh", T.LongType()), T.StructField("sample", T.ArrayType(T.LongType()))]
 
     def start():
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            hashes, bands = _word_bands(texts)
-            return [pa.array(hashes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            hashes = [_word_hash(t) for t in texts]
+            sample = [None if h % SAMPLE_OF else _shingle_hashes(t, n) for h, t in zip(hashes, texts, strict=True)]
+            return [pa.array(hashes, pa.int64()), pa.array(sample, pa.list_(pa.int64()))]
 
         return compute
 
     signed = stored(with_text_columns(rows, text, fields, start, keep=KEY))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__h1", "__h2")).alias("first")
-    texts = stored(signed.groupBy("wh").agg(first, F.any_value("bands").alias("bands")))
-    nodes = texts.select("wh", F.explode("bands").alias("fp"))
-    lead = stored(nodes.groupBy("fp").agg(F.min("wh").alias("lead"), F.max("wh").alias("last")))
-    same = nodes.join(lead.filter("lead < last"), "fp").filter("wh > lead").select(F.col("lead").alias("x"), F.col("wh").alias("y"))
-    edges = hamming_edges(lead, BAND_BITS, BAND_SEGMENT)
-    of_a = lead.select(F.col("fp").alias("a"), F.col("lead").alias("p"))
-    of_b = lead.select(F.col("fp").alias("b"), F.col("lead").alias("q"))
-    across = edges.join(of_a, "a").join(of_b, "b").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).filter("x < y")
-    pairs = stored(same.unionByName(across).distinct())
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("wh")).distinct()
+    texts = stored(signed.groupBy("wh").agg(first))
+    # One exchange on the shingle serves the counts and the look-back.
+    entries = _prefixes(rows, text, n, least, _hot_shingles(signed)).repartition("s")
+    met = entries.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
+    entries = stored(entries.join(met.hint("shuffle_hash"), "s", "left_semi"))
+
+    needed = entries.select("wh").distinct()
     keys = needed.join(texts, "wh").select("wh", *[F.col(f"first.{k}").alias(k) for k in KEY])
     # Rows equal in key have equal texts; one of them is enough.
-    bodies = stored(on_key(rows, keys, "inner").select("wh", F.coalesce(F.col(text), F.lit("")).alias("body")).dropDuplicates(["wh"]))
-    both = (
-        pairs.join(bodies.select(F.col("wh").alias("x"), F.col("body").alias("bx")), "x")
-        .join(bodies.select(F.col("wh").alias("y"), F.col("body").alias("by")), "y"))
+    read = on_key(rows, keys, "inner").select("wh", F.coalesce(F.col(text), F.lit("")).alias("body")).dropDuplicates(["wh"])
 
     def verified(batches):
         for batch in batches:
@@ -205,8 +236,26 @@ def near_duplicate_groups(
             yield pa.RecordBatch.from_arrays(
                 [pa.array([sides[k][i] for i in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    links = both.select("x", "y", "bx", "by").mapInArrow(verified, "a bigint, b bigint")
-    roots = connected_components(links)
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.distinct())
+        of = pairs.select(F.explode(F.array("x", "y")).alias("wh")).distinct()
+        bodies = stored(read.join(of, "wh", "left_semi"))
+        both = (
+            pairs.join(bodies.select(F.col("wh").alias("x"), F.col("body").alias("bx")), "x")
+            .join(bodies.select(F.col("wh").alias("y"), F.col("body").alias("by")), "y"))
+        return stored(both.select("x", "y", "bx", "by").mapInArrow(verified, "a bigint, b bigint"))
+
+    own = F.struct("size", "wh", "at")
+    near = entries.select(own.alias("x"), F.lead(own).over(Window.partitionBy("s").orderBy("size", "wh")).alias("y"))
+    linked = links(near.filter(_may_pass(least)).select("x.wh", F.col("y.wh").alias("y")).toDF("x", "y"))
+    # Candidates of one group need no comparison: shingles whose texts are all in one group are left out.
+    roots = connected_components(linked).withColumnRenamed("node", "wh")
+    placed = stored(entries.join(roots, "wh", "left").withColumn("root", F.coalesce("root", "wh")))
+    mixed = placed.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("s")
+    placed = placed.join(mixed, "s", "left_semi")
+    rest = placed.alias("x").join(placed.alias("y"), F.expr(f"x.s = y.s AND x.wh < y.wh AND x.root <> y.root AND {_may_pass(least)}"))
+    linked = linked.unionByName(links(rest.select(F.col("x.wh").alias("x"), F.col("y.wh").alias("y"))))
+    roots = connected_components(linked)
     grouped = texts.select("wh", "first").join(roots.withColumnRenamed("node", "wh"), "wh", "left").select(
         "wh", F.coalesce("root", "wh").alias("group"), "first")
     leads = grouped.groupBy("group").agg(F.min("first").alias("lead"))

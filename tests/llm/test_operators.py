@@ -150,6 +150,38 @@ def test_near_duplicates(spark, docs, empty):
     assert without_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_equal_all_pairs(spark):
+    rng = random.Random(12)
+    vocabulary = [prose(rng, 1).strip().lower() for _ in range(150)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = []
+    for _ in range(8):  # equal word sets, and first texts that no other is similar to
+        lead, body = text(200), text(200)
+        rows += [rng.sample(lead, len(lead)) for _ in range(3)] + [body]
+        for _ in range(6):
+            at = rng.randrange(190)
+            rows.append(body[:at] + [rng.choice(vocabulary)] + body[at + 1:])
+    for n in (40, 300):  # passages added, cut off, replaced; chains of such steps
+        for _ in range(6):
+            body, k = text(n), n // 10
+            rows += [body, body + text(2 * k), body[: n - k], body[k:], body[:k] + text(k) + body[2 * k:], body + text(5 * k)]
+            rows += [body[j * k // 2:] + text(j * k // 2) for j in range(1, 5)]
+    rows += [["same", "few", "words", "in", "all", str(k)] for k in range(5)] + [text(6)[:k] for k in range(7)]
+    texts = [" ".join(r) for r in rows]
+    rng.shuffle(texts)
+    nodes = sorted(set(texts))
+    links = [(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1:] if brute.similarity(a, b) >= 0.8]
+    root = brute.components(nodes, links)
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(root[t], set()).add(i)
+    got = {}
+    for r in near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+        got.setdefault(r["group"], set()).add(r["__id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert len(links) > 100 and len(want) > 40
+
+
 def test_decontamination_equals_brute_force(spark, docs, empty):
     rows = hard_rows()
     words = rows[9][1].split()
