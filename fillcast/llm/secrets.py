@@ -33,27 +33,65 @@ FEATURES = [
     "f_hex", "f_dictionary", "f_path", "f_url", "f_at", "f_issued", "f_harmless", "f_assigned", "f_keyword_here", "f_keyword_before"]
 
 
+_KEYWORD = "(?:" + "|".join(KEYWORDS) + ")"
+_VALUE = """(?:(?<=")[^"]+|(?<=')[^']+|[^"'&,;{}<>\\s]+)"""
+_NAMED = f"""(?i)([A-Za-z0-9_.-]*{_KEYWORD})["']?[=:]+>?["'(]*({_VALUE})"""
+_LOGIN = "://[^/?#:@]*:([^/?#]+)@"
+_INSIDE = f"""[=:]+["']?([A-Za-z0-9+_.~%-][A-Za-z0-9+/_.=~%-]{{{MIN_CHARS - 1},}})"""
+_ISSUED_INSIDE = "(?<![A-Za-z0-9])(?:" + ISSUED.replace("^", "").replace("$", "(?![A-Za-z0-9])") + ")"
+_DIGITS = "[0-9].*[0-9]"
+
+
+def _values_of(word: Column, before: Column, before2: Column) -> Column:
+    """Structs (value, name) of a word; `name` is the keyword a value is assigned to, else empty."""
+    value = lambda c, name: F.struct(c.alias("value"), name.alias("name"))
+    none = F.lit("")
+    all_of = lambda pattern, group: F.regexp_extract_all(word, F.lit(pattern), F.lit(group))
+    named = F.transform(all_of(_NAMED, 0), lambda m: value(F.regexp_extract(m, _NAMED, 2), ascii_lower(F.regexp_extract(m, _NAMED, 1))))
+    login = F.transform(all_of(_LOGIN, 1), lambda v: value(v, F.lit("password")))
+    sign = before.isin("=", ":", ":=", "=>")
+    key = F.regexp_extract(F.when(sign, before2).otherwise(before), f"(?i)([A-Za-z0-9_.-]*{_KEYWORD})[\"'`]?[=:]*>?$", 1)
+    after_key = F.when((F.length(key) > 0) & (sign | before.rlike("[=:]>?$")), F.array(
+        value(F.regexp_extract(word, f"^[\"'`(]*({_VALUE})", 1), ascii_lower(key)))).otherwise(F.array())
+    issued = F.transform(all_of(_ISSUED_INSIDE, 0), lambda v: value(v, none))
+    inside = F.transform(F.filter(all_of(_INSIDE, 1), lambda v: v.rlike(_DIGITS)), lambda v: value(v, none))
+    stripped = F.btrim(word, F.lit(_EDGE))
+    whole = F.when(stripped.contains("://"), F.regexp_extract(stripped, "([^/]*)/?$", 1)).otherwise(
+        F.btrim(F.regexp_replace(stripped, "^[A-Za-z_.-]{1,40}[=:]+", ""), F.lit(_EDGE)))
+    long = (F.length(word) >= MIN_CHARS) & word.rlike(_DIGITS) & word.rlike(f"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
+    whole = F.when(long, F.array(value(whole, none))).otherwise(F.array())
+    trimmed = lambda c: F.transform(c, lambda x: value(F.btrim(x["value"], F.lit(_EDGE)), x["name"]))
+    kind = "array<struct<value:string,name:string>>"
+    sure = F.filter(F.concat(login.cast(kind), named.cast(kind), after_key.cast(kind)), lambda x: F.length(x["value"]) > 0)
+    rest = F.concat(trimmed(F.concat(issued.cast(kind), inside.cast(kind))), whole.cast(kind))
+    known = F.transform(sure, lambda x: F.btrim(x["value"], F.lit(_EDGE)))
+    return F.array_distinct(F.concat(sure, F.filter(rest, lambda x: ~F.array_contains(known, F.btrim(x["value"], F.lit(_EDGE))))))
+
+
 def find_candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Rows (kept columns, position, word, before, after, value): long words with a letter or sign and a digit.
+    """Rows (kept columns, position, word, before, before2, after, value, name), several for a word with several values.
 
+    Candidates are issuers' formats anywhere in a word; values assigned to a keyword, in the word or the words before
+    it, whatever their length and characters (`name` is that keyword); passwords of user:password@; and long words,
+    or long values in them, with two digits. A quoted value ends with its word.
     `position` counts words from 0. NULL and empty texts have none. All columns of the input are kept unless
     `keep` says otherwise; those named like a result are replaced.
     """
-    results = ["position", "word", "before", "before2", "after", "value"]
+    results = ["position", "word", "before", "before2", "after", "value", "name"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in results]
     rows = docs.select(*names, words_of(F.coalesce(F.col(text), F.lit(""))).alias("__w"))
+    word = lambda i: F.coalesce(F.get("__w", i), F.lit(""))
+    # A cheap test first; which values a word has is decided once for each word that passes.
     able = F.filter(
         F.sequence(F.lit(0), F.size("__w") - 1),
-        lambda i: (F.length(F.col("__w")[i]) >= MIN_CHARS) & F.col("__w")[i].rlike("[0-9].*[0-9]") & F.col("__w")[i].rlike(f"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}"))
+        lambda i: ((F.length(word(i)) >= MIN_CHARS) & (word(i).rlike(_DIGITS) | word(i).rlike(_ISSUED_INSIDE)))
+        | word(i).rlike("[=:]") | word(i - 1).rlike("[=:]>?$"))
     found = F.when(F.size("__w") > 0, F.transform(able, lambda i: F.struct(
-        i.cast("long").alias("position"), F.col("__w")[i].alias("word"),
-        F.coalesce(F.get("__w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("__w", i - 2), F.lit("")).alias("before2"),
-        F.coalesce(F.get("__w", i + 1), F.lit("")).alias("after"))))
+        i.cast("long").alias("position"), word(i).alias("word"),
+        word(i - 1).alias("before"), word(i - 2).alias("before2"), word(i + 1).alias("after"))))
     rows = rows.withColumn("__f", F.explode(found)).select(*names, "__f.*")
-    stripped = F.btrim(F.col("word"), F.lit(_EDGE))
-    value = F.when(stripped.contains("://"), F.regexp_extract(stripped, "([^/]*)/?$", 1)).otherwise(
-        F.btrim(F.regexp_replace(stripped, "^[A-Za-z_.-]{1,40}[=:]+", ""), F.lit(_EDGE)))
-    return rows.withColumn("value", value)
+    rows = rows.withColumn("__v", F.explode(_values_of(F.col("word"), F.col("before"), F.col("before2"))))
+    return rows.select(*names, "position", "word", "before", "before2", "after", "__v.value", "__v.name")
 
 
 def corpus_dictionary(docs: DataFrame, text: str = "text", n: int = DICTIONARY_WORDS) -> list[str]:
@@ -76,7 +114,8 @@ def add_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     """Add FEATURES and hashed neighbours. `dictionary` has at most DICTIONARY_WORDS words."""
     v = F.col("value")
     size = F.greatest(F.length(v), F.lit(1)).cast("double")
-    key = ascii_lower(F.regexp_extract("word", "([A-Za-z_-]+)[=:]", 1))
+    named = F.length("name") > 0
+    key = F.when(named, F.col("name")).otherwise(ascii_lower(F.regexp_extract("word", "([A-Za-z_-]+)[=:]", 1)))
     keyword = F.array(*[F.lit(k) for k in KEYWORDS])
     runs = F.regexp_extract_all(ascii_lower(v), F.lit(r"[^\x00-\x60\x7B-\x7F]{3,}"), F.lit(0))
     listed = F.array(*[F.lit(w) for w in dictionary]).cast("array<string>")
@@ -89,10 +128,10 @@ def add_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
         "f_case_change": _count(v, "(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]") / size,
         "f_distinct": F.size(F.array_distinct(F.split(v, ""))) / size, "f_digits": _count(v, "[0-9]") / size,
         "f_upper": _count(v, "[A-Z]") / size, "f_hex": flag(v.rlike("^[0-9a-fA-F]+$")), "f_dictionary": known / size,
-        "f_path": flag(F.col("word").rlike(r"[^/]/[^/]|\\|\.[a-z]{2,4}$")), "f_url": flag(F.col("word").contains("://")),
+        "f_path": flag(F.col("word").rlike(r"[^/]/[^/]|\\|\.[a-z]{2,4}$")), "f_url": flag(F.col("word").contains("://") & ~named),
         "f_at": flag(F.col("word").contains("@")), "f_issued": flag(v.rlike(ISSUED)), "f_harmless": flag(v.rlike(HARMLESS)),
-        "f_assigned": flag(F.col("word").rlike("[A-Za-z][=:]") | F.col("before").isin("=", ":", ":=", "=>") | F.col("before").rlike("[=:]$")),
-        "f_keyword_here": flag(F.array_contains(keyword, key)),
+        "f_assigned": flag(named | F.col("word").rlike("[A-Za-z][=:]") | F.col("before").isin("=", ":", ":=", "=>") | F.col("before").rlike("[=:]$")),
+        "f_keyword_here": flag(F.array_contains(keyword, key) | (named & key.rlike(f"(^|[^a-z]){_KEYWORD}$"))),
         "f_keyword_before": flag(F.array_contains(keyword, _bare(F.col("before"))) | F.array_contains(keyword, _bare(F.col("before2"))))})
     bucket = {"before": F.when(F.length(key) > 0, key).otherwise(_bare(F.col("before"))), "after": _bare(F.col("after"))}
     hashed = {f"f_{side}_{k}": flag(F.pmod(F.hash(c), F.lit(NEIGHBOUR_BUCKETS)) == k) for side, c in bucket.items() for k in range(NEIGHBOUR_BUCKETS)}
