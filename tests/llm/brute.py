@@ -125,3 +125,101 @@ def similarity(a, b, n=5):
 
     x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y) if x | y else 1.0
+
+
+# -- two tokenizers ------------------------------------------------------------------
+
+def byte_alphabet():
+    keep = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in keep]
+    return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def alignment(rows, byte_file, piece_file):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), by comparing every A with every B token."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    left = Tokenizer.from_file(byte_file)
+    left.encode_special_tokens = True
+    right = sentencepiece.SentencePieceProcessor(model_file=piece_file)
+    alphabet, entry = byte_alphabet(), {i: t for t, i in left.get_vocab().items()}
+
+    def right_bytes(i):
+        piece = right.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if right.is_byte(i) else piece.replace("▁", " ").encode()
+
+    def ranges(ids, body):
+        out, at = [], 0
+        for i in ids:
+            out.append((at, at + len(body(i)), i))
+            at = out[-1][1]
+        return out
+
+    docs = []
+    for doc_id, text in rows:
+        a = b = []
+        if text:
+            a = ranges(left.encode(" " + text, add_special_tokens=False).ids, lambda i: bytes(alphabet[c] for c in entry[i]))
+            b = ranges(right.encode(text), right_bytes)
+            for side, body in ((a, lambda i: bytes(alphabet[c] for c in entry[i])), (b, right_bytes)):
+                if b"".join(body(i) for _, _, i in side) != (" " + text).encode():
+                    a = b = []
+        links = [(x[2], y[2]) for x in a for y in b if x[0] < y[1] and y[0] < x[1]] if len(a) < 3000 else _swept(a, b)
+        cuts = [0, *sorted({e for _, e, _ in a} & {e for _, e, _ in b})]
+        groups = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            groups.append("|".join(",".join(str(i) for s, e, i in side if lo <= s and e <= hi) for side in (a, b)) if len(a) < 3000 else "")
+        docs.append((doc_id, len(a), len(b), len(groups), links, ";".join(groups)))
+    held = Counter(p for d in docs for p in set(d[4]))
+    top = defaultdict(int)
+    for (x, _), n in held.items():
+        top[x] = max(top[x], n)
+    return [
+        (i, na, nb, ng, len(links), sum(held[p] == top[p[0]] for p in links), sum(held[p] for p in links),
+         hashlib.sha256(groups.encode()).hexdigest() if na else "") for i, na, nb, ng, links, groups in docs]
+
+
+def _swept(a, b):
+    """Links of long texts: the tokens that hold each byte offset where either one begins."""
+    out, j, k = [], 0, 0
+    while j < len(a) and k < len(b):
+        out.append((a[j][2], b[k][2]))
+        ends = a[j][1], b[k][1]
+        j += ends[0] <= ends[1]
+        k += ends[1] <= ends[0]
+    return out
+
+
+# -- conversation tries -----------------------------------------------------------------
+
+def trie(rows):
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of rows (conv_id, turn, role, text)."""
+    import zlib
+
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v, key=lambda t: t[:2])] for c, v in convs.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (c % 20 if c >= 0 else -(-c % 20))
+        built[c] = tuple(own.get(base, [])[:h] + turns[h:])
+    members = defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    below = defaultdict(set)
+    for p in members:
+        if p:
+            below[p[:-1]].add(p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not below[p]
+            saved[p[:d]] += (len(m) - 1) * len(WORD.findall(p[-1][1])) if p else 0
+    return [
+        (min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(below[p]), leaves[p], saved[p],
+         hashlib.sha256(",".join(str(c) for c in sorted(m) if len(built[c]) == len(p)).encode()).hexdigest()) for p, m in members.items()]
