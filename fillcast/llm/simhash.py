@@ -7,16 +7,17 @@ each fingerprint visits its own grid cell and the cells one step away, and a lin
 Cells with two visitors are verified by the exact Hamming distance. In fuller cells the visitors are
 grouped by the fingerprints half-way (one bit or none from each): all visitors of such a midpoint are
 within two bits of each other, so a star to the smallest one links the same sets as all pairs would.
+
+Near copies for the pipeline (`near_duplicate_groups`) take the same cells as a first pass and buckets of minimum
+hashes for copies that differ too much for two bits; candidates are then checked on their shingles.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,13 +124,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 MIN_SIMILARITY = 0.8
 SIMILAR_SHINGLE_WORDS = 5
-#: Common shingles are looked for in one of SAMPLE_OF texts; those in HOT_COUNT sampled texts or more come last in
-#: the order of shingles, HOT_SHINGLES of them at most. Any order finds every pair, a good one makes few candidates.
-SAMPLE_OF, HOT_COUNT, HOT_SHINGLES = 8, 4, 200_000
+#: Texts meet in a bucket if all BAND_ROWS minimum hashes of one of BANDS bands are equal: at similarity 0.8 all but
+#: 2 in 10,000 pairs do, whatever was changed in the text.
+BANDS, BAND_ROWS = 16, 4
+#: Rounds in which all members of a bucket are compared with one of them, and the size up to which buckets that are
+#: still not one group are then compared pair by pair.
+ROUNDS, SMALL_BUCKET = 2, 16
+#: Shingles whose minimum hashes are taken at once.
+_SLICE = 20_000
+
+_multipliers = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_mixer = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hash(body: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(word_pattern.findall(body.lower()))) - (1 << 63)
+def _word_hash(body: bytes) -> tuple[int, int]:
+    both = xxhash.xxh3_128_intdigest(b" ".join(word_pattern.findall(body.lower())))
+    return (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63)
 
 
 def _shingle_hashes(body: bytes, n: int) -> np.ndarray:
@@ -137,131 +147,154 @@ def _shingle_hashes(body: bytes, n: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in own), np.uint64, len(own)).view(np.int64))
 
 
-def _prefix_length(size: int, least: float) -> int:
-    """So many first shingles, in any order all texts share, must have one of each text that is similar enough."""
-    return min(size, size - math.ceil(least * size - 1e-9) + 1)
-
-
-def _similar(a: bytes, b: bytes, n: int, least: float) -> bool:
-    x, y = set(_shingles(a, n)), set(_shingles(b, n))
-    both = len(x & y)
-    return both >= least * (len(x) + len(y) - both) and both > 0
+def _fingerprint_of(hashes: np.ndarray) -> int:
+    bits = np.unpackbits(hashes.view(np.uint64).byteswap().view(np.uint8)).reshape(-1, 64)
+    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
-def _hot_shingles(signed: DataFrame) -> np.ndarray:
-    """Hashes of common shingles, the rarest first."""
-    counts = (
-        signed.filter("sample IS NOT NULL").groupBy("wh").agg(F.any_value("sample").alias("sample"))
-        .select(F.explode("sample").alias("s")).groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") >= HOT_COUNT))
-    top = counts.orderBy(F.desc("k"), "s").limit(HOT_SHINGLES).toArrow()
-    return top.column("s").to_numpy()[::-1].copy()
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band, from the minimum hashes of a text's shingles; none without shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    own = hashes.view(np.uint64)
+    for i in range(0, len(own), _SLICE):
+        np.minimum(least, (own[i:i + _SLICE, None] * _multipliers).min(axis=0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        keys = (keys ^ rows[:, k]) * _mixer
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64).tolist()
 
 
-def _prefixes(rows: DataFrame, text: str, n: int, least: float, hot: np.ndarray) -> DataFrame:
-    """Rows (wh, size, s, at): of each distinct text its number of shingles and its first ones with their places."""
-    shared = rows.sparkSession.sparkContext.broadcast((np.sort(hot), np.argsort(hot)))
-    fields = [T.StructField("wh", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType()))]
+def _signed(rows: DataFrame, text: str, n: int) -> DataFrame:
+    """Row keys with the text's word hash (w1, w2), number of shingles, SimHash and band keys."""
+    fields = [
+        T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("size", T.IntegerType()),
+        T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def start():
-        common, ranks = shared.value
-
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            sizes, firsts = [], []
-            for body in texts:
-                own = _shingle_hashes(body, n)
-                rank = np.full(len(own), -1, dtype=np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    rank = np.where(common[at] == own, ranks[at], -1)
-                sizes.append(len(own))
-                firsts.append(own[np.argsort(rank, kind="stable")[:_prefix_length(len(own), least)]])
+            words = [_word_hash(t) for t in texts]
+            own = [_shingle_hashes(t, n) for t in texts]
             return [
-                pa.array([_word_hash(t) for t in texts], pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+                pa.array([w[0] for w in words], pa.int64()), pa.array([w[1] for w in words], pa.int64()), pa.array([len(h) for h in own], pa.int32()),
+                pa.array([_fingerprint_of(h) if len(h) else 0 for h in own], pa.int64()), pa.array([band_keys(h) for h in own], pa.list_(pa.int64()))]
 
         return compute
 
-    found = with_text_columns(rows, text, fields, start, keep=[])
-    each = found.groupBy("wh").agg(F.any_value("size").alias("size"), F.any_value("first").alias("first"))
-    return each.select("wh", "size", F.posexplode("first").alias("at", "s"))
+    return with_text_columns(rows, text, fields, start, keep=KEY)
+
+
+def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (x, y) that join all texts whose SimHash fingerprints link (see the module text), through one text of each fingerprint."""
+    worded = texts.filter("size > 0")
+    fps = stored(worded.groupBy("fp").agg(F.min("node").alias("x"), F.count("*").alias("k")))
+    edges = hamming_edges(fps.select("fp"))
+    far = edges.join(fps.select(F.col("fp").alias("a"), "x"), "a").join(fps.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
+    same = worded.select("fp", F.col("node").alias("y")).join(fps.filter("k > 1").select("fp", "x"), "fp").filter("x <> y").select("x", "y")
+    return far.unionByName(same)
+
+
+def _bucket_members(texts: DataFrame) -> DataFrame:
+    """Rows (b, node, size, place) of the buckets with several members; `place` puts texts that meet many others first."""
+    entries = texts.select("node", "size", F.explode("bands").alias("b"))
+    met = entries.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1")
+    entries = stored(entries.join(met, "b"))
+    crowd = entries.groupBy("node").agg((-F.sum("n")).alias("crowd"))
+    return stored(entries.join(crowd, "node").select("b", "node", "size", F.struct("crowd", "node").alias("place")))
 
 
-def _may_pass(least: float) -> str:
-    """Whether the sizes of x and y, and what follows their first common shingle, leave enough in common."""
-    return (
-        f"least(x.size, y.size) >= {least} * greatest(x.size, y.size) - 1e-6 AND "
-        f"least(x.size - x.at, y.size - y.at) >= {least / (1 + least)} * (x.size + y.size) - 1e-6")
+def _similar_sizes(least: float, a: str, b: str) -> str:
+    return f"least({a}, {b}) >= {least} * greatest({a}, {b}) - 1e-6"
+
+
+def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-    n: int = SIMILAR_SHINGLE_WORDS, least: float = MIN_SIMILARITY,
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SIMILAR_SHINGLE_WORDS, least: float = MIN_SIMILARITY,
+    rounds: int = ROUNDS, exact: bool = False,
 ) -> DataFrame:
     """Rows (__id, __h1, __h2, group, first): every document key with its group, and whether it comes first.
 
-    Texts with equal word sequences are one text. Others link if the Jaccard similarity of their `n`-word
-    shingles is `least` or more, checked on whole texts; groups are the components of all such links. Candidates
-    are complete: two similar texts share a shingle among the first `_prefix_length` ones of each, in an order
-    that puts common shingles last. Neighbours by size among the texts with a shingle are compared first; then
-    all candidates that these links leave in different groups. The first of a group has its smallest
-    (id, text hash); NULL ids come last.
+    Texts with equal word sequences are one text, and empty ones are too. Others link if the Jaccard similarity of
+    their `n`-word shingles is `least` or more, checked on all shingles; groups are the components of the links
+    found. Two kinds of candidates are checked: texts whose SimHash fingerprints link through popcount cells, and
+    texts that meet in a bucket of minimum hashes. In each round the members of a bucket are compared with the member
+    that meets the most texts, if they are not in one group with it yet, so a round makes a pair a member at most,
+    however large the bucket. Small buckets that are not one group after all rounds are then compared pair by pair;
+    with `exact` all are, at a cost that grows with the square of a bucket of unlike texts. Without it a link can be
+    missed only between texts that are similar to none of the leads of a large bucket.
+    The first of a group has its smallest (id, text hash); NULL ids come last.
     """
     rows = keyed(docs.select(id_col, text), id_col, text)
-    fields = [T.StructField("wh", T.LongType()), T.StructField("sample", T.ArrayType(T.LongType()))]
-
-    def start():
-        def compute(texts: list[bytes]) -> list[pa.Array]:
-            hashes = [_word_hash(t) for t in texts]
-            sample = [None if h % SAMPLE_OF else _shingle_hashes(t, n) for h, t in zip(hashes, texts, strict=True)]
-            return [pa.array(hashes, pa.int64()), pa.array(sample, pa.list_(pa.int64()))]
+    signed = stored(_signed(rows, text, n))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__h1", "__h2")).alias("first")
+    distinct = signed.groupBy("w1", "w2").agg(first, *[F.any_value(c).alias(c) for c in ("size", "fp", "bands")])
+    texts = stored(distinct.withColumn("node", F.monotonically_increasing_id()))
+    members = _bucket_members(texts)
+    near = stored(_fingerprint_pairs(texts))
 
-        return compute
+    # Shingles of the texts that are a candidate at all, once each: of rows equal in key one is enough.
+    needed = members.select("node").unionByName(near.select(F.explode(F.array("x", "y")).alias("node"))).distinct()
+    keys = texts.join(needed, "node").select("node", *[F.col(f"first.{k}").alias(k) for k in KEY])
+    bodies = on_key(rows, keys, "inner").select("node", F.coalesce(F.col(text), F.lit("")).alias("body"))
 
-    signed = stored(with_text_columns(rows, text, fields, start, keep=KEY))
-    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__h1", "__h2")).alias("first")
-    texts = stored(signed.groupBy("wh").agg(first))
-    # One exchange on the shingle serves the counts and the look-back.
-    entries = _prefixes(rows, text, n, least, _hot_shingles(signed)).repartition("s")
-    met = entries.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
-    entries = stored(entries.join(met.hint("shuffle_hash"), "s", "left_semi"))
+    def start():
+        return lambda bodies: [pa.array([_shingle_hashes(b, n) for b in bodies], pa.list_(pa.int64()))]
 
-    needed = entries.select("wh").distinct()
-    keys = needed.join(texts, "wh").select("wh", *[F.col(f"first.{k}").alias(k) for k in KEY])
-    # Rows equal in key have equal texts; one of them is enough.
-    read = on_key(rows, keys, "inner").select("wh", F.coalesce(F.col(text), F.lit("")).alias("body")).dropDuplicates(["wh"])
+    shingles = stored(with_text_columns(bodies, "body", [T.StructField("own", T.ArrayType(T.LongType()))], start, keep=["node"]).dropDuplicates(["node"]))
 
     def verified(batches):
         for batch in batches:
-            sides = [batch.column(i).to_pylist() for i in range(4)]
-            good = [i for i, (bx, by) in enumerate(zip(sides[2], sides[3], strict=True)) if _similar(bx.encode(), by.encode(), n, least)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([sides[k][i] for i in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            left, right = (batch.column(i) for i in (2, 3))
+            ends = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (left, right)]
+            good = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                a, b = (v[o[i]:o[i + 1]] for o, v in ends)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good[i] = both > 0 and both >= least * (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["a", "b"])
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct())
-        of = pairs.select(F.explode(F.array("x", "y")).alias("wh")).distinct()
-        bodies = stored(read.join(of, "wh", "left_semi"))
         both = (
-            pairs.join(bodies.select(F.col("wh").alias("x"), F.col("body").alias("bx")), "x")
-            .join(bodies.select(F.col("wh").alias("y"), F.col("body").alias("by")), "y"))
-        return stored(both.select("x", "y", "bx", "by").mapInArrow(verified, "a bigint, b bigint"))
-
-    own = F.struct("size", "wh", "at")
-    near = entries.select(own.alias("x"), F.lead(own).over(Window.partitionBy("s").orderBy("size", "wh")).alias("y"))
-    linked = links(near.filter(_may_pass(least)).select("x.wh", F.col("y.wh").alias("y")).toDF("x", "y"))
-    # Candidates of one group need no comparison: shingles whose texts are all in one group are left out.
-    roots = connected_components(linked).withColumnRenamed("node", "wh")
-    placed = stored(entries.join(roots, "wh", "left").withColumn("root", F.coalesce("root", "wh")))
-    mixed = placed.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("s")
-    placed = placed.join(mixed, "s", "left_semi")
-    rest = placed.alias("x").join(placed.alias("y"), F.expr(f"x.s = y.s AND x.wh < y.wh AND x.root <> y.root AND {_may_pass(least)}"))
-    linked = linked.unionByName(links(rest.select(F.col("x.wh").alias("x"), F.col("y.wh").alias("y"))))
-    roots = connected_components(linked)
-    grouped = texts.select("wh", "first").join(roots.withColumnRenamed("node", "wh"), "wh", "left").select(
-        "wh", F.coalesce("root", "wh").alias("group"), "first")
+            pairs.join(shingles.select(F.col("node").alias("y"), F.col("own").alias("of_y")), "y")
+            .join(shingles.select(F.col("node").alias("x"), F.col("own").alias("of_x")), "x"))
+        return stored(both.select("x", "y", "of_x", "of_y").mapInArrow(verified, "a bigint, b bigint"))
+
+    linked, tried, roots = None, near, None
+    for k in range(rounds):
+        placed = _labelled(members, roots)
+        lead = F.struct("place", "size", "root")
+        leads = placed.groupBy("b").agg(F.min(lead).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
+        leads = leads.filter("low < high").select("b", "lead")
+        met = stored(placed.join(leads, "b").filter("place > lead.place"))
+        pairs = met.filter("root <> lead.root AND " + _similar_sizes(least, "size", "lead.size")).select(
+            F.col("lead.place.node").alias("x"), F.col("node").alias("y")).distinct()
+        pairs = stored(pairs.unionByName(near).distinct() if k == 0 else pairs.join(tried, ["x", "y"], "left_anti"))
+        tried = pairs if k == 0 else tried.unionByName(pairs)
+        found = links(pairs)
+        linked = found if linked is None else linked.unionByName(found)
+        roots = stored(connected_components(linked).withColumnRenamed("node", "of").select(F.col("of").alias("node"), "root"))
+        members = met.select("b", "node", "size", "place")
+    placed = _labelled(members, roots)
+    mixed = placed.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
+    open_ = stored(placed.join(mixed if exact else mixed.filter(F.col("n") <= SMALL_BUCKET), "b").select("b", "node", "size", "root"))
+    rest = open_.alias("x").join(open_.alias("y"), F.expr(
+        "x.b = y.b AND x.node < y.node AND x.root <> y.root AND " + _similar_sizes(least, "x.size", "y.size")))
+    rest = rest.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    found = links(stored(rest))
+    roots = connected_components(linked.unionByName(found) if linked is not None else found)
+    grouped = texts.join(roots, "node", "left").select("w1", "w2", F.coalesce("root", "node").alias("group"), "first")
     leads = grouped.groupBy("group").agg(F.min("first").alias("lead"))
-    of_text = stored(grouped.select("wh", "group").join(leads, "group"))
+    of_text = stored(grouped.select("w1", "w2", "group").join(leads, "group"))
     own = F.struct(F.col("__id").isNull().alias("none"), "__id", "__h1", "__h2")
-    return signed.select("wh", *KEY).join(of_text, "wh").select(*KEY, "group", own.eqNullSafe(F.col("lead")).alias("first"))
+    return signed.select("w1", "w2", *KEY).join(of_text, ["w1", "w2"]).select(*KEY, "group", own.eqNullSafe(F.col("lead")).alias("first"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -182,6 +182,33 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert len(links) > 100 and len(want) > 40
 
 
+def test_near_duplicates_recall_by_kind_of_change(spark):
+    """Edits of one base text: many copies unlike each other but like the base, and one pair of each kind of change."""
+    rng = random.Random(21)
+    vocabulary = [prose(rng, 1).strip().lower() for _ in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+
+    def scattered(body, k):
+        out = list(body)
+        for at in rng.sample(range(len(body)), k):
+            out[at] = rng.choice(vocabulary)
+        return out
+
+    base = text(150)
+    crowd = [" ".join(base)] + [" ".join(scattered(base, rng.randint(1, 7))) for _ in range(120)]
+    kinds = {"append": lambda b: b + text(30), "cut": lambda b: b[:165], "replace": lambda b: b[:90] + text(15) + b[105:], "scatter": lambda b: scattered(b, 3)}
+    made = [(kind, " ".join(b), " ".join(change(b))) for kind, change in kinds.items() for b in (text(200) for _ in range(40))]
+    texts = crowd + [t for _, x, y in made for t in (x, y)]
+    rows = near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    group = {r["__id"]: r["group"] for r in rows}
+    similar = [(i, j) for i in range(len(crowd)) for j in range(i) if brute.similarity(crowd[i], crowd[j]) >= 0.8]
+    assert len(similar) > 200 and sum(group[i] == group[j] for i, j in similar) >= 0.99 * len(similar)
+    for kind in kinds:
+        at = [len(crowd) + 2 * k for k, m in enumerate(made) if m[0] == kind and brute.similarity(m[1], m[2]) >= 0.8]
+        assert len(at) >= 30 and sum(group[i] == group[i + 1] for i in at) >= 0.95 * len(at), kind
+    assert len({group[i] for i in range(len(crowd), len(texts), 2)}) == len(made)  # unlike texts stay apart
+
+
 def test_decontamination_equals_brute_force(spark, docs, empty):
     rows = hard_rows()
     words = rows[9][1].split()
