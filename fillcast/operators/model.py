@@ -6,35 +6,48 @@ import random
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillcast.config import DEFAULTS, Settings
 from fillcast.functions.columns import clip
+from fillcast.operators.boosting import BoostedTrees, TreeSettings, fit_trees, number_array, shapley_values
 from fillcast.operators.encode import CategoryEncoder, feature_columns
 from fillcast.operators.metrics import complete_pairs, rmse
 from fillcast.operators.ordered import LongSeries, global_positions, stored
+from fillcast.operators.parzen import propose
 from fillcast.operators.split import each_fold, holdout_folds
 
-# Number of rounds, step size, leaf size and sampling of the three presets.
+# Rounds, step size, leaves, depth (0: no limit), leaf size, L2 and sampling of the three presets. The first two
+# grow best leaf first, the third level by level.
 PRESETS: dict[str, dict] = {
-    "balanced": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 20},
-    "sampled": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 20,
+    "balanced": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 0, "maxLeaves": 31, "minInstancesPerNode": 20, "l2": 0.1},
+    "sampled": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 8, "maxLeaves": 31, "minInstancesPerNode": 20, "l2": 1.0,
                 "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
-    "fine": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 5,
+    "fine": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 5, "l2": 1.0,
              "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
 }
 # The first preset stops on a tenth of its own training rows when no validation rows are given.
 SELF_VALIDATING = ("balanced",)
 SELF_VALIDATION_PERCENT = 10
+#: Rounds without a better validation score after which a fit ends (fixed value).
+PATIENCE = 20
 
 
 def preset(name: str, **changes) -> dict:
     return PRESETS[name] | changes
 
 
+def tree_settings(params: dict) -> TreeSettings:
+    return TreeSettings(
+        rounds=int(params["maxIter"]), step=float(params.get("stepSize", 0.05)), depth=int(params.get("maxDepth", 8)),
+        leaves=int(params.get("maxLeaves", 0)), least_rows=int(params.get("minInstancesPerNode", 20)), l2=float(params.get("l2", 1.0)),
+        row_share=float(params.get("subsamplingRate", 1.0)), column_share=float(params.get("featureSubsetStrategy", 1.0)), patience=PATIENCE)
+
+
 def _number(column: str) -> str:
     """SQL text of a column as double with NaN as NULL. Text, because a feature table has
     hundreds of columns and one parsed expression each is cheaper than chains of calls."""
@@ -44,7 +57,7 @@ def _number(column: str) -> str:
 
 @dataclass(frozen=True)
 class FeatureMatrix:
-    """Median fill-in and missing flags, fitted on training rows, for trees that reject NULL."""
+    """Median fill-in and missing flags, fitted on training rows, for learners that reject NULL. The trees here do not."""
 
     columns: tuple[str, ...]
     medians: dict[str, float]
@@ -77,48 +90,24 @@ class FeatureMatrix:
 @dataclass(frozen=True)
 class TrainedModel:
     name: str
-    matrix: FeatureMatrix
-    model: GBTRegressionModel
+    model: BoostedTrees
     limits: tuple[float, float]
     info: dict = field(default_factory=dict)
 
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return self.model.columns
+
     def predict(self, df: DataFrame, output: str = "predicted") -> DataFrame:
-        scored = self.model.setPredictionCol("_raw").transform(self.matrix.transform(df))
-        return scored.withColumn(output, clip(F.col("_raw"), *self.limits)).drop("_x", "features", "_raw")
+        return df.withColumn(output, clip(self.model.score(number_array(self.columns)), *self.limits))
 
     def gains(self) -> list[tuple[str, float]]:
-        """Impurity-based importance per feature."""
-        values = self.model.featureImportances.toArray()
-        return sorted(zip(self.matrix.names, map(float, values)), key=lambda p: -p[1])
-
-
-#: Rounds without a better validation score after which later trees do not count (fixed value).
-PATIENCE = 20
-
-
-def best_round(errors: list[float], patience: int = PATIENCE) -> int:
-    """The round (from 1) with the least error before `patience` rounds in a row bring nothing better."""
-    best = 0
-    for k, e in enumerate(errors):
-        if e < errors[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
+        """Gain-based importance per feature."""
+        return sorted(self.model.gains().items(), key=lambda p: (-p[1], p[0]))
 
-def _fit_with_patience(learner: GBTRegressor, rows: DataFrame) -> GBTRegressionModel:
-    """Fit the whole budget of trees, score every round on the `_val` rows, and keep the best round.
 
-    Boosting with one seed repeats its first rounds, so a shorter fit is the cut model.
-    """
-    inner = rows.filter(~F.col("_val"))
-    fitted = learner.fit(inner)
-    held = rows.filter("_val")
-    if held.isEmpty():
-        return fitted
-    rounds = best_round(list(fitted.evaluateEachIteration(held, "squared")))
-    return fitted if rounds == fitted.getNumTrees else learner.copy({learner.maxIter: rounds}).fit(inner)
+def _row_keys(df: DataFrame) -> list[str]:
+    return [c for c in ("container_id", "measured_at_utc") if c in df.columns]
 
 
 def train_model(
@@ -127,32 +116,27 @@ def train_model(
     settings: Settings = DEFAULTS, seed: int | None = None,
 ) -> TrainedModel:
     """Fit one preset; validation rows (or, for a self-validating preset, always a hashed tenth of the
-    training rows, so it never stops on the rows it is scored on) decide how many trees to keep."""
+    training rows, so it never stops on the rows it is scored on) end the fit. Missing values are learned, not filled in."""
     chosen = dict(PRESETS[name] if params is None else params)
     if name in SELF_VALIDATING:
         validation = None
-    matrix = FeatureMatrix.fit(train, columns)
+    keys = _row_keys(train)
 
-    def assembled(df: DataFrame, held: Column) -> DataFrame:
-        return matrix.transform(df.withColumn("_val", held)).select(target, "_val", "features")
+    def part(df: DataFrame, held: Column) -> DataFrame:
+        return df.select(*dict.fromkeys([*keys, target, *columns])).withColumn("_val", held)
 
     held = F.lit(False)
     if name in SELF_VALIDATING:
-        ids = [c for c in ("container_id", "measured_at_utc") if c in train.columns] or [target]
-        held = F.pmod(F.xxhash64(F.lit(settings.seed), *ids), F.lit(100)) < SELF_VALIDATION_PERCENT
-    rows = assembled(train, held)
+        held = F.pmod(F.xxhash64(F.lit(settings.seed), *(keys or [target])), F.lit(100)) < SELF_VALIDATION_PERCENT
+    rows = part(train, held)
     if validation is not None:
-        rows = rows.unionByName(assembled(validation, F.lit(True)))
-    stops = validation is not None or name in SELF_VALIDATING
-    learner = GBTRegressor(featuresCol="features", labelCol=target, seed=settings.seed if seed is None else seed, **chosen)
-    cached = rows.cache()
+        rows = rows.unionByName(part(validation, F.lit(True)))
     started = time.monotonic()
-    try:
-        fitted = _fit_with_patience(learner, cached) if stops else learner.fit(cached)
-    finally:
-        cached.unpersist()
-    info = {"train_time": time.monotonic() - started, "n_iter": fitted.getNumTrees, "params": chosen}
-    return TrainedModel(name, matrix, fitted, limits, info)
+    fitted = fit_trees(
+        rows, list(columns), target, F.col("_val"), tree_settings(chosen), settings.seed if seed is None else seed,
+        watch=validation is not None or name in SELF_VALIDATING, keys=keys or None)
+    info = {"train_time": time.monotonic() - started, "n_iter": len(fitted.trees), "params": chosen}
+    return TrainedModel(name, fitted, limits, info)
 
 
 def model_features(train: DataFrame, encoder: CategoryEncoder) -> list[str]:
@@ -180,19 +164,10 @@ SEARCHED = {
 WHOLE = ("maxIter", "maxDepth", "minInstancesPerNode")
 
 
-def draw_params(name: str, rng: random.Random, space: dict = SEARCH_SPACE) -> dict:
-    out = {}
-    for p in SEARCHED[name]:
-        low, high, log = space[p]
-        if log:
-            out[p] = low * (high / low) ** rng.random()
-        elif p in WHOLE:
-            out[p] = rng.randint(int(low), int(high))
-        else:
-            out[p] = low + (high - low) * rng.random()
-    if "featureSubsetStrategy" in out:
-        out["featureSubsetStrategy"] = f"{out['featureSubsetStrategy']:.4f}"
-    return out
+def draw_params(name: str, rng: random.Random, space: dict = SEARCH_SPACE, history: list[tuple[dict, float]] = ()) -> dict:
+    """Parameters for the next trial: random ones first, then by Parzen densities of the trials so far."""
+    found = propose({p: space[p] for p in SEARCHED[name]}, history, rng, whole=WHOLE)
+    return found | {p: f"{found[p]:.4f}" for p in ("featureSubsetStrategy",) if p in found}
 
 
 def search(
@@ -200,17 +175,21 @@ def search(
     trials: int | None = None, seconds: int | None = None, space: dict = SEARCH_SPACE,
     limits: tuple[float, float] = (0.0, 100.0), long: LongSeries | None = None,
 ) -> tuple[dict, DataFrame]:
-    """Seeded random search: least mean RMSE over container folds. Returns (best, trial table)."""
+    """Seeded Parzen search: least mean RMSE over container folds. Returns (best, trial table).
+
+    Parameters that the space doesn't name are the preset's.
+    """
     rng = random.Random(settings.seed)
     folds = holdout_folds(train, settings.tuning_folds, settings.seed, cutoff=False, long=long, settings=settings).cache()
     limit = settings.tuning_seconds if seconds is None else seconds
     deadline = None if limit is None else time.monotonic() + limit
     rows: list[tuple] = []
+    history: list[tuple[dict, float]] = []
     try:
         for number in range(settings.trials if trials is None else trials):
             if rows and deadline is not None and time.monotonic() > deadline:
                 break
-            params = draw_params(name, rng, space)
+            params = PRESETS[name] | draw_params(name, rng, space, history)
             scores = []
             for _, inner, validation in each_fold(folds):
                 model = train_model(name, inner, columns, validation, params, limits, settings=settings)
@@ -218,12 +197,14 @@ def search(
                 scores.append(complete_pairs(scored).agg(rmse()).first()[0])
             known = [s for s in scores if s is not None]
             rows.append((name, number, sum(known) / len(known) if known else None, {k: str(v) for k, v in params.items()}))
+            if known:
+                history.append(({k: float(params[k]) for k in SEARCHED[name]}, rows[-1][2]))
     finally:
         folds.unpersist()
     table = train.sparkSession.createDataFrame(rows, "model string, number int, value double, params map<string,string>")
     ranked = [r for r in rows if r[2] is not None]
     best = min(ranked, key=lambda r: (r[2], r[1]))[3] if ranked else {}
-    typed = {k: v if k == "featureSubsetStrategy" else int(v) if k in WHOLE else float(v) for k, v in best.items()}
+    typed = {k: v if k == "featureSubsetStrategy" else int(v) if k in (*WHOLE, "maxLeaves") else float(v) for k, v in best.items()}
     return typed, table
 
 
@@ -254,49 +235,26 @@ def _sample(df: DataFrame, rows: int | None, settings: Settings, salt: int) -> D
     return (ranked if rows is None else ranked.filter(F.col("_i") <= rows)).drop("_h")
 
 
-def shapley_importance(
-    model: TrainedModel, train: DataFrame, test: DataFrame, settings: Settings = DEFAULTS,
-    permutations: int = 4, rows: int | None = None,
-) -> DataFrame:
-    """Mean absolute Shapley contribution per feature, by sampled feature orders.
+def shapley_importance(model: TrainedModel, test: DataFrame, settings: Settings = DEFAULTS, rows: int | None = None) -> DataFrame:
+    """Mean absolute exact Shapley contribution per feature over the rows of `test`, or over `rows` of them.
 
-    Every test row is paired with a training row, in hash order and starting over where there are fewer of
-    them; walking through a random feature order swaps one value after another, and all steps are scored
-    in one batch. The result is an estimate from rows x `permutations` walks; `rows` may limit both sides.
+    The model is broadcast with the task; each task adds up its rows, so nothing but a row a feature is shuffled.
     """
     limit = settings.importance_rows if rows is None else rows
-    names = model.matrix.names
-    size = len(names)
-    # a flag walks together with its value: the position of a feature is that of its column
-    owner = [*model.matrix.columns, *model.matrix.flagged]
-    index = {c: i for i, c in enumerate(model.matrix.columns)}
-    owners = F.array(*[F.lit(index[c]) for c in owner])
-    players = len(model.matrix.columns)
-    left = model.matrix.transform(_sample(test, limit, settings, 1)).select("_i", F.col("_x").alias("_own"))
-    others = stored(model.matrix.transform(_sample(train, limit, settings, 2)).select(F.col("_i").alias("_j"), F.col("_x").alias("_other")))
-    turn = F.pmod(F.col("_i") - 1, F.lit(max(1, others.count()))) + 1
-    pairs = left.withColumn("_j", turn).join(others, "_j").drop("_j")
-    walks = pairs.withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    # rank of every feature in this walk's order
-    keys = F.transform(F.sequence(F.lit(0), F.lit(players - 1)),
-                       lambda f: F.struct(F.xxhash64(F.lit(settings.seed), "_i", "_perm", f).alias("h"), f.alias("f")))
-    walks = walks.withColumn("_order", F.transform(F.array_sort(keys), lambda k: k["f"]))
-    walks = walks.withColumn(
-        "_place", F.transform(owners, lambda f: F.array_position("_order", f)))  # 1-based
-    steps = walks.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(players))))
-    mixed = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda j: F.when(F.get("_place", j) <= F.col("_step"), F.get("_own", j)).otherwise(F.get("_other", j)))
-    points = steps.select(
-        "_i", "_perm", "_step", F.get("_order", F.col("_step") - 1).alias("_feature"),
-        array_to_vector(mixed).alias("features"))
-    scored = model.model.setPredictionCol("_raw").transform(points).select("_i", "_perm", "_step", "_feature", "_raw")
-    walk = Window.partitionBy("_i", "_perm").orderBy("_step")
-    gain = scored.withColumn("_gain", F.col("_raw") - F.lag("_raw").over(walk)).filter("_step > 0")
-    per_row = gain.groupBy("_i", "_feature").agg(F.avg("_gain").alias("_c"))
-    labels = F.array(*[F.lit(c) for c in model.matrix.columns])
-    return per_row.groupBy("_feature").agg(F.avg(F.abs("_c")).alias("shap_importance")).select(
-        F.get(labels, F.col("_feature")).alias("feature"), "shap_importance")
+    data = test if limit is None else _sample(test, limit, settings, 1)
+    own = model.model
+
+    def run(batches):
+        total, n = np.zeros(len(own.columns)), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            total += np.abs(shapley_values(own, x)).sum(axis=0)
+            n += len(x)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own.columns), pa.array(total), pa.array([n] * len(total), pa.int64())], names=["feature", "total", "n"])
+
+    sums = data.select(number_array(own.columns).alias("x")).mapInArrow(run, "feature string, total double, n bigint")
+    return sums.groupBy("feature").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("shap_importance"))
 
 
 BUCKET_ROWS = 10_000
@@ -305,17 +263,20 @@ BUCKET_ROWS = 10_000
 def permutation_importance(model: TrainedModel, data: DataFrame, fold: int = 1, settings: Settings = DEFAULTS) -> DataFrame:
     """Growth of RMSE when one feature's values are exchanged between rows.
 
-    Rows swap within random buckets of about 10,000 rows: two independent orders of a bucket
-    are matched by row number, so there is no global sort. The rows are stored with their
-    bucket first, so both orders see the same ones. All features are scored in one pass
-    over rows x features.
+    Rows swap within buckets of about 10,000 rows: two orders of a bucket, by different hashes of the row, are
+    matched by row number, so there is no global sort and the result doesn't depend on partitions. All features
+    are scored in one pass over rows x features.
     """
-    names = model.matrix.columns
-    n = data.count()
-    buckets = max(1, n // BUCKET_ROWS)
-    rows = stored(model.matrix.transform(data).select(
-        F.col("target").alias("actual"), "_x", F.floor(F.rand(settings.seed) * buckets).alias("_bucket"),
-        F.rand(settings.seed + 1).alias("_a"), F.rand(settings.seed + 2).alias("_b")))
+    names = model.columns
+    buckets = max(1, data.count() // BUCKET_ROWS)
+    keys = [F.col(c) for c in _row_keys(data)]
+
+    def hashed(salt: int) -> Column:
+        return F.xxhash64(F.lit(settings.seed + salt), *keys, "actual", "_x")
+
+    rows = stored(
+        data.withColumn("actual", F.col("target").cast("double")).withColumn("_x", number_array(names))
+        .select("actual", "_x", F.pmod(hashed(0), F.lit(buckets)).alias("_bucket"), hashed(1).alias("_a"), hashed(2).alias("_b")))
 
     def ordered(by: str) -> Window:
         return Window.partitionBy("_bucket").orderBy(by)
@@ -323,15 +284,11 @@ def permutation_importance(model: TrainedModel, data: DataFrame, fold: int = 1,
     numbered = rows.withColumn("_n", F.row_number().over(ordered("_a")))
     donors = rows.select("_bucket", F.row_number().over(ordered("_b")).alias("_n"), F.col("_x").alias("_y"))
     both = numbered.join(donors, ["_bucket", "_n"])
-    index = {c: i for i, c in enumerate(names)}
-    owner = F.array(*[F.lit(index[c]) for c in (*names, *model.matrix.flagged)])
-    size = len(model.matrix.names)
     spread = both.withColumn("_feature", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
     mixed = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda j: F.when(F.get(owner, j) == F.col("_feature"), F.get("_y", j)).otherwise(F.get("_x", j)))
-    points = spread.select("actual", "_feature", array_to_vector(mixed).alias("features"))
-    scored = model.model.setPredictionCol("_raw").transform(points).withColumn("predicted", clip(F.col("_raw"), *model.limits))
+        F.sequence(F.lit(0), F.lit(len(names) - 1)),
+        lambda j: F.when(j == F.col("_feature"), F.get("_y", j)).otherwise(F.get("_x", j)))
+    scored = spread.select("actual", "_feature", mixed.alias("_x")).withColumn("predicted", clip(model.model.score(F.col("_x")), *model.limits))
     errors = scored.groupBy("_feature").agg(rmse().alias("_rmse"))
     labels = F.array(*[F.lit(c) for c in names])
     errors = errors.cache()  # one row per feature
