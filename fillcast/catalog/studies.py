@@ -69,12 +69,12 @@ def threshold_features_table(spark, sf) -> DataFrame:
 
 @query("x04_cross_validation", "fold:i model:s " + SCORES)
 def cross_validation(spark, sf) -> DataFrame:
-    return studies.cross_validation(_source(spark, sf), stored(held_out(spark, sf)), ONE)
+    return studies.cross_validation(_source(spark, sf), stored(held_out(spark, sf)), ALL)
 
 
 @query("x05_seed_stability", "seed:i model:s " + SCORES)
 def seed_stability(spark, sf) -> DataFrame:
-    return studies.seed_stability(_source(spark, sf), ONE)
+    return studies.seed_stability(_source(spark, sf), ALL)
 
 
 ABLATION = "variant:s n_features:i n:i rmse:f r2:f rmse_ci_lower:f rmse_ci_upper:f"

@@ -66,6 +66,7 @@ class Settings:
     bootstrap_rounds: int = 1000
     ci_level: float = 0.95
     trials: int = 50
+    fits_at_once: int = 4
     tuning_seconds: int | None = None
     importance_rows: int | None = None
     correlation_threshold: float = 0.95

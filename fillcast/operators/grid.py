@@ -92,8 +92,9 @@ def label_time_to_threshold(grid: DataFrame, settings: Settings = DEFAULTS) -> D
 
     The next reaching row and the next drop row are minima over the later rows (frames of
     a descending order, one pass). A row that both drops and reaches counts as a drop. The
-    scan looks at most `scan_rows` rows ahead.
+    scan looks at most `scan_rows` rows ahead, and never less than `max_days`.
     """
+    reach = max(settings.scan_rows, -(-settings.max_days * 24 // settings.step_hours))
     window, fill = grid_window(), F.col("percent_calculated")
     row = F.row_number().over(window)
     full = fill >= settings.fill_threshold
@@ -106,7 +107,7 @@ def label_time_to_threshold(grid: DataFrame, settings: Settings = DEFAULTS) -> D
     return seen.withColumn(
         "time_to_threshold_hours",
         F.when(full, F.lit(0.0)).when(
-            (distance <= settings.scan_rows) & free, (distance * settings.step_hours).cast("double")),
+            (distance <= reach) & free, (distance * settings.step_hours).cast("double")),
     ).drop("_row", "_hit", "_drop", "_next_hit", "_next_drop")
 
 

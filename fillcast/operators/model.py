@@ -19,6 +19,7 @@ from fillcast.operators.encode import CategoryEncoder, feature_columns
 from fillcast.operators.metrics import complete_pairs, rmse
 from fillcast.operators.ordered import LongSeries, global_positions, stored
 from fillcast.operators.parzen import propose
+from fillcast.operators.side_by_side import side_by_side
 from fillcast.operators.split import each_fold, holdout_folds
 
 # Rounds, step size, leaves, depth (0: no limit), leaf size, L2 and sampling of the three presets. The first two
@@ -185,23 +186,27 @@ def search(
     deadline = None if limit is None else time.monotonic() + limit
     rows: list[tuple] = []
     history: list[tuple[dict, float]] = []
+    spark = train.sparkSession
+
+    def fold_error(params: dict, inner: DataFrame, validation: DataFrame) -> float | None:
+        model = train_model(name, inner, columns, validation, params, limits, settings=settings)
+        scored = model.predict(validation).withColumn("actual", F.col("target"))
+        return complete_pairs(scored).agg(rmse()).first()[0]
+
     try:
         for number in range(settings.trials if trials is None else trials):
             if rows and deadline is not None and time.monotonic() > deadline:
                 break
             params = PRESETS[name] | draw_params(name, rng, space, history)
-            scores = []
-            for _, inner, validation in each_fold(folds):
-                model = train_model(name, inner, columns, validation, params, limits, settings=settings)
-                scored = model.predict(validation).withColumn("actual", F.col("target"))
-                scores.append(complete_pairs(scored).agg(rmse()).first()[0])
+            scores = side_by_side(
+                spark, [lambda f=f: fold_error(params, *f[1:]) for f in each_fold(folds)], settings.fits_at_once)
             known = [s for s in scores if s is not None]
             rows.append((name, number, sum(known) / len(known) if known else None, {k: str(v) for k, v in params.items()}))
             if known:
                 history.append(({k: float(params[k]) for k in SEARCHED[name]}, rows[-1][2]))
     finally:
         folds.unpersist()
-    table = train.sparkSession.createDataFrame(rows, "model string, number int, value double, params map<string,string>")
+    table = spark.createDataFrame(rows, "model string, number int, value double, params map<string,string>")
     ranked = [r for r in rows if r[2] is not None]
     best = min(ranked, key=lambda r: (r[2], r[1]))[3] if ranked else {}
     typed = {k: v if k == "featureSubsetStrategy" else int(v) if k in (*WHOLE, "maxLeaves") else float(v) for k, v in best.items()}
@@ -302,10 +307,11 @@ def importance_over_folds(
     name: str, folds: DataFrame, columns: list[str], params: dict | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Permutation importance of a model trained on each fold, measured on its validation rows."""
-    parts = []
-    for fold, train, validation in each_fold(folds):
+    def of_fold(fold: int, train: DataFrame, validation: DataFrame) -> DataFrame:
         model = train_model(name, train, columns, validation, params, settings=settings)
-        parts.append(permutation_importance(model, validation, fold, settings))
+        return permutation_importance(model, validation, fold, settings)
+
+    parts = side_by_side(folds.sparkSession, [lambda f=f: of_fold(*f) for f in each_fold(folds)], settings.fits_at_once)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
