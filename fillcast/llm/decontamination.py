@@ -18,6 +18,8 @@ from fillcast.operators.ordered import stored
 WINDOW_WORDS = 10
 #: Windows in one broadcast set. Larger benchmarks are scanned for in several sets, one after the other.
 SET_WINDOWS = 500_000
+#: Windows of one item that reach the driver in one piece.
+PIECE_WINDOWS = 20_000
 
 _word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -48,17 +50,30 @@ class WindowSet:
             self.size += 1
 
 
+def _pieces(benchmark: DataFrame, id_col: str, text: str, width: int, windows: int) -> DataFrame:
+    """The words of each item, in pieces of at most `windows` windows that overlap by `width` - 1 words."""
+    def run(batches):
+        for batch in batches:
+            items, pieces = [], []
+            for item, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = _word.findall((body or "").encode().lower())
+                for at in range(0, max(1, len(tokens) - width + 1) if tokens else 0, windows):
+                    items.append(item or "")
+                    pieces.append(b" ".join(tokens[at:at + windows + width - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(pieces, pa.binary())], names=["item", "words"])
+
+    return benchmark.select(F.col(id_col).cast("string"), F.col(text)).mapInArrow(run, "item string, words binary")
+
+
 def window_sets(benchmark: DataFrame, id_col: str, text: str, width: int, limit: int) -> Iterator[WindowSet]:
-    """The benchmark as sets of about `limit` windows; one item at a time passes the driver."""
+    """The benchmark as sets of at most `limit` windows; pieces of bounded length pass the driver one by one."""
     current = WindowSet()
-    for item, body in benchmark.select(F.col(id_col).cast("string"), F.col(text)).toLocalIterator():
-        tokens = _word.findall((body or "").encode().lower())
-        if not tokens:
-            continue
-        if current.size and current.size + len(tokens) > limit:
+    for item, words in _pieces(benchmark, id_col, text, width, min(limit, PIECE_WINDOWS)).toLocalIterator():
+        tokens = bytes(words).split(b" ")
+        if current.size and current.size + max(1, len(tokens) - width + 1) > limit:
             yield current
             current = WindowSet()
-        current.add("" if item is None else item, tokens, width)
+        current.add(item, tokens, width)
     if current.size:
         yield current
 
@@ -120,7 +135,8 @@ def find_contamination(
     Words are runs of ASCII letters and digits and of other code points, A-Z lower-cased. A window is
     `width` consecutive words of an item; an item of fewer words, but not none, is one window. Hash hits
     are verified, since the set holds the windows themselves. The broadcast set has at most `limit`
-    windows or one item; a larger benchmark becomes several sets, scanned for in turn without a shuffle.
+    windows; longer items are cut into pieces that overlap by `width` - 1 words, and a larger benchmark
+    becomes several sets, scanned for in turn without a shuffle.
     NULL and empty texts have no words; items without words and an empty benchmark hit nothing; a NULL
     item id is listed as an empty string. Input columns named like a result are replaced.
     """

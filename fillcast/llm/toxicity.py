@@ -237,24 +237,28 @@ def training_rows(
 ) -> list[tuple[str, int]]:
     """At most `rows` labelled, not held-out texts of at most `size` bytes together, by order of a hash of the id.
 
-    Ids and lengths are looked at first, so a very long text never reaches the driver; whole texts come.
+    An id that repeats gives one text, that with the smallest hash. Ids, hashes and lengths are looked at
+    first, so a very long text never reaches the driver; whole texts come.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(
         F.max(label).cast("int").alias("__y"))
-    sized = docs.select(id_col, F.coalesce(F.octet_length(text), F.lit(0)).alias("__n")).groupBy(id_col).agg(F.max("__n").alias("__n"))
-    first = sized.join(known, id_col).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(rows).collect()
+    body = F.coalesce(F.col(text), F.lit(""))
+    sized = docs.select(id_col, F.struct(F.xxhash64(body).alias("__h"), F.octet_length(body).alias("__n")).alias("__own"))
+    one = sized.groupBy(id_col).agg(F.min("__own").alias("__own")).select(id_col, "__own.*")
+    first = one.join(known, id_col).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(rows).collect()
     left, wanted = size, []
     for r in first:
         if r["__n"] <= left:
             left -= r["__n"]
-            wanted.append((r[id_col], r["__y"]))
+            wanted.append((r[id_col], r["__h"], r["__y"]))
     if not wanted:
         return []
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = spark.createDataFrame(wanted, f"`{id_col}` {kind}, __y int")
-    found = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("__t")).join(F.broadcast(chosen), id_col)
-    return [(r["__t"], r["__y"]) for r in sorted(found.select(id_col, "__t", "__y").collect(), key=lambda r: (r[id_col], r["__t"]))][:rows]
+    chosen = F.broadcast(spark.createDataFrame(wanted, f"`{id_col}` {kind}, __h long, __y int"))  # at most `rows` rows
+    found = docs.select(id_col, body.alias("__t"), F.xxhash64(body).alias("__h")).join(chosen, [id_col, "__h"])
+    texts = found.groupBy(id_col).agg(F.min("__t").alias("__t"), F.first("__y").alias("__y"))
+    return [(r["__t"], r["__y"]) for r in sorted(texts.collect(), key=lambda r: r[id_col])]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from fillcast.llm import secrets, suffix, toxicity  # noqa: E402
+from fillcast.llm import decontamination, secrets, suffix, toxicity  # noqa: E402
 from fillcast.llm.components import connected_components  # noqa: E402
 from fillcast.llm.decontamination import find_contamination, remove_spans, without_contaminated  # noqa: E402
 from fillcast.llm.lines import drop_frequent_lines  # noqa: E402
@@ -229,6 +229,18 @@ def test_decontamination_equals_brute_force(spark, docs, empty):
     assert not find_contamination(docs, bench.limit(0)).filter("contaminated").count()
 
 
+def test_benchmark_sets_are_bounded(spark):
+    long = [f"w{i % 37}" for i in range(400)]
+    items = [("a", " ".join(long)), ("a", "other words of item a"), ("b", " ".join(long[:30])), ("b", " ".join(long[:30])), (None, "no id"), ("c", "")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    sets = list(decontamination.window_sets(bench, "item_id", "text", 10, 50))
+    assert all(0 < s.size <= 50 for s in sets)
+    assert sum(s.size for s in sets) == 391 + 1 + 21 + 21 + 1
+    body = " ".join(["x", *long[195:230], "x"])
+    found = find_contamination(spark.createDataFrame([(1, body), (2, "no id")], "doc_id int, text string"), bench, limit=150).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["items"]) for r in found] == [(35, ["a", "b"]), (2, [""])]
+
+
 def test_lines_equal_brute_force(docs, empty):
     got = pairs(drop_frequent_lines(docs, min_docs=3), "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
     assert got == sorted(brute.lines([(r[0], r[1]) for r in hard_rows()], 3), key=str)
@@ -336,6 +348,18 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == ["doc_id", "text", "score"] and 400 < kept.count() < 480
 
 
+def test_toxicity_training_takes_one_text_an_id(spark):
+    rows = [(1, f"copy {i}") for i in range(50)] + [(3, "third"), (3, "third"), (6, None), (None, "no id")] + [(k, f"text {k}") for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, None), (None, 1)], "doc_id bigint, toxic int")
+    kept = [r[0] for r in df.filter(~toxicity.held_out() & F.col("doc_id").isNotNull()).select("doc_id").distinct().collect()]
+    taken = toxicity.training_rows(df, known)
+    assert len(taken) == len(kept) and sum(t.startswith("copy") for t, _ in taken) == (1 in kept)
+    assert taken == toxicity.training_rows(df.repartition(7), known)
+    assert len(toxicity.training_rows(df, known, rows=5)) == 5
+    assert sum(len(t) for t, _ in toxicity.training_rows(df, known, size=40)) <= 40
+
+
 def test_marginals_equal_a_plain_chain():
     import numpy as np
 
