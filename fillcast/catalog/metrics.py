@@ -307,12 +307,12 @@ def linear_extrapolation(spark, sf) -> DataFrame:
     return day_predictions(spark, sf)
 
 
-@query("b06_ar_forecasts", "container_id:i step:i actual:f predicted:f ar_order:i")
+@query("b06_ar_forecasts", "container_id:i step:i actual:f predicted:f ar_order:i model_order:s")
 def ar_forecasts(spark, sf) -> DataFrame:
     return forecasting.ar_forecasts(grid_rows(spark, sf), "percent_calculated")
 
 
-@query("b06b_fixed_ar_forecasts", "container_id:i step:i actual:f predicted:f ar_order:i")
+@query("b06b_fixed_ar_forecasts", "container_id:i step:i actual:f predicted:f ar_order:i model_order:s")
 def fixed_ar_forecasts(spark, sf) -> DataFrame:
     return forecasting.ar_forecasts(grid_rows(spark, sf), "percent_calculated", automatic=False)
 
@@ -327,7 +327,7 @@ def forecast_targets(spark, sf) -> DataFrame:
     return forecasting.ar_forecasts(grid_rows(spark, sf), "percent_calculated", automatic=False)
 
 
-@query("b06d_most_common_order", "most_common_order:i n_series:i")
+@query("b06d_most_common_order", "most_common_order:s n_series:i")
 def most_common_order(spark, sf) -> DataFrame:
     return forecasting.most_common_order(forecasting.ar_forecasts(grid_rows(spark, sf), "percent_calculated"))
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fillcast.operators import forecasting, metrics, model, screening, survival
+from fillcast.operators import arima, forecasting, metrics, model, screening, survival
 
 SMALL = {"maxIter": 8, "maxDepth": 3}
 
@@ -68,10 +68,10 @@ def test_autoregression_recovers_its_coefficients():
     x = [50.0, 52.0]
     for _ in range(600):
         x.append(10 + 1.1 * x[-1] - 0.3 * x[-2] + rng.normal(0, 0.5))
-    weights = forecasting.fit_ar(np.array(x), (2,))
-    assert abs(weights[0] - 10) < 3 and abs(weights[1] - 1.1) < 0.1 and abs(weights[2] + 0.3) < 0.1
-    ahead = forecasting.forecast_ar(np.array([1.0, 0.5]), np.array([4.0]), 3)
-    np.testing.assert_allclose(ahead, [3.0, 2.5, 2.25])
+    found = arima.fit_arima(np.array(x), arima.Order(p=2))
+    assert abs(found.constant - 10) < 3 and abs(found.level[0] - 1.1) < 0.1 and abs(found.level[1] + 0.3) < 0.1
+    known = arima.Arima(arima.Order(p=1), 1.0, np.array([0.5]), np.zeros(0), 1, 0.0)
+    np.testing.assert_allclose(arima.forecasts_from(known, np.array([4.0]), np.array([1]), 3), [[3.0, 2.5, 2.25]])
 
 
 def test_forecasts_follow_a_weekly_pattern(spark):
