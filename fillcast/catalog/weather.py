@@ -18,6 +18,7 @@ KEYS = "container_id:i measured_at_utc:u"
 VALUES = "temperature:f precipitation:f wind_speed:f pressure:f"
 NORMAL = "weather_time:u " + VALUES + " temp_min:f temp_max:f temp_daily_range_src:f"
 FILL = DEFAULTS.with_(weather_override=False)
+MERGED = DEFAULTS.with_(weather_broadcast_rows=0, block_rows=100_000)
 
 
 # -- check SQL --------------------------------------------------------------------
@@ -134,6 +135,11 @@ def asof_join(spark, sf) -> DataFrame:
     return wx.merge_weather(clean(spark, sf), weather_fine(spark, sf))
 
 
+@query("w05b_asof_merge", KEYS + " " + VALUES + " temp_min:f temp_max:f temp_daily_range_src:f", "SELECT * FROM joined_fine", ("joined_fine",))
+def asof_merge(spark, sf) -> DataFrame:
+    return wx.merge_weather(clean(spark, sf), weather_fine(spark, sf), MERGED)
+
+
 @query("w06_fill_existing", KEYS + " " + VALUES, """
 SELECT c.container_id, c.measured_at_utc, coalesce(c.temperature, w.temperature) AS temperature, w.precipitation, w.wind_speed, w.pressure
 FROM clean c ASOF LEFT JOIN fine w ON c.measured_at_utc >= w.weather_time""", ("clean", "fine"))

@@ -77,6 +77,7 @@ class Settings:
 
     # weather
     weather_override: bool = True
+    weather_broadcast_rows: int = 1_000_000  # longer weather tables are merged along time
     temp_freezing: float = 0.0
     temp_cold: float = 5.0
     temp_warm: float = 20.0

@@ -105,11 +105,10 @@ def on_both(
 
 # -- running totals over long series -------------------------------------------
 
-def running_sums(
-    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column],
-    rows: int, block_rows: int,
-) -> DataFrame:
-    """Inclusive running sums along `order`, computed chunk by chunk.
+def in_chunks(
+    df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], rows: int, block_rows: int,
+) -> tuple[DataFrame, list[Column], list[str]]:
+    """Rows with their `_chunk` along (keys, order) and `_w_<name>` values; the sort columns; the helper columns.
 
     The range exchange spreads equal keys too: a random salt is the last sort column, so
     copies of one row do not end up in one task. Two checkpoints make that safe against
@@ -122,10 +121,19 @@ def running_sums(
     for i, c in enumerate(order):
         placed = placed.withColumn(f"_o{i}", c)
     sort_cols = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(order))] + [F.col("_salt")]
-    placed = saved(placed.withColumns({f"_w_{name}": c for name, c in sums.items()}))
+    placed = saved(placed.withColumns({f"_w_{name}": c for name, c in values.items()}))
     placed = saved(
         placed.repartitionByRange(chunks, *keys, *sort_cols).withColumn("_chunk", F.spark_partition_id())
     )
+    return placed, sort_cols, ["_salt", "_chunk", *[f"_o{i}" for i in range(len(order))], *[f"_w_{n}" for n in values]]
+
+
+def running_sums(
+    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column],
+    rows: int, block_rows: int,
+) -> DataFrame:
+    """Inclusive running sums along `order`, computed chunk by chunk."""
+    placed, sort_cols, helpers = in_chunks(df, keys, order, sums, rows, block_rows)
     within = Window.partitionBy(*keys, "_chunk").orderBy(*sort_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     totals = placed.groupBy(*keys, "_chunk").agg(
@@ -139,9 +147,7 @@ def running_sums(
     for name in sums:
         joined = joined.withColumn(
             name, F.sum(f"_w_{name}").over(within) + F.col(f"_b_{name}"))
-    helpers = ["_salt", "_chunk", *[f"_o{i}" for i in range(len(order))],
-               *[f"_w_{n}" for n in sums], *[f"_b_{n}" for n in sums]]
-    return joined.drop(*helpers)
+    return joined.drop(*helpers, *[f"_b_{n}" for n in sums])
 
 
 def positions(
@@ -178,6 +184,34 @@ def global_positions(
     return global_running_sums(df, order, {name: F.lit(1).cast("long")}, block_rows, rows)
 
 
+def global_last_known(
+    df: DataFrame, order: list[Column], values: dict[str, Column], block_rows: int = DEFAULTS.block_rows,
+    rows: int | None = None,
+) -> DataFrame:
+    """Last value that is not NULL up to each row, for several columns over one global order.
+
+    Rows that are equal in `order` are put in an arbitrary order, so callers name enough columns.
+    Above `block_rows` rows the chunks of a range exchange are filled on their own, and what
+    is known at the end of a chunk is carried over its border (one small row a chunk).
+    """
+    rows = df.count() if rows is None else rows
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if rows <= block_rows:
+        window = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(*upto)
+        return df.withColumns({name: F.last(c, ignorenulls=True).over(window) for name, c in values.items()})
+    placed, sort_cols, helpers = in_chunks(df, [], order, values, rows, block_rows)
+    within = Window.partitionBy("_chunk").orderBy(*sort_cols).rowsBetween(*upto)
+    at = F.struct(*helpers[2:2 + len(order)], "_salt")
+    ends = placed.groupBy("_chunk").agg(*[
+        F.max_by(f"_w_{n}", F.when(F.col(f"_w_{n}").isNotNull(), at)).alias(f"_e_{n}") for n in values])
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per chunk: at most 2 * rows / block_rows + 2
+    before = ends.select("_chunk", *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in values])
+    joined = placed.join(F.broadcast(before), "_chunk").withColumns({
+        n: F.coalesce(F.last(f"_w_{n}", ignorenulls=True).over(within), F.col(f"_b_{n}")) for n in values})
+    return joined.drop(*helpers, *[f"_b_{n}" for n in values])
+
+
 # -- frames of bounded reach ---------------------------------------------------
 
 def over_series(

@@ -14,12 +14,10 @@ from fillcast.functions.columns import correlation, flag, null_outside
 from fillcast.operators.cleaning import TEMPERATURE_RANGE
 from fillcast.operators.emptying import KEY, time_order
 from fillcast.operators.ordered import (
-    LongSeries, global_running_extreme, over_series, positions, running_extreme)
+    LongSeries, global_last_known, global_running_extreme, over_series, positions, running_extreme, stored)
 from fillcast.sources.tables import KMH_PER_MS, WEATHER_COLUMNS, WEATHER_EXTRAS
 
 MATCH_KEY = "_weather_key"
-# A weather table above this many rows is joined without a broadcast hint.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,31 +38,35 @@ def profile_weather(weather: DataFrame) -> WeatherProfile:
     return WeatherProfile(row["n"], bool(row["daily"]), row["last"])
 
 
-def _maybe_broadcast(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
-def match_weather(df: DataFrame, weather: DataFrame, profile: WeatherProfile) -> DataFrame:
+def match_weather(
+    df: DataFrame, weather: DataFrame, profile: WeatherProfile, settings: Settings = DEFAULTS
+) -> DataFrame:
     """Weather values of each reading as `<name>_weather` columns, plus the match key.
 
-    Daily weather joins on the date. Finer weather joins as-of: each weather row is valid
-    until the next one, and is listed under every day its interval touches, so the join
-    has an equality on the day and the interval test is only a filter on its matches.
+    Daily weather joins on the date. Finer weather joins as-of: each weather row is valid until
+    the next one. Up to `weather_broadcast_rows` weather rows (counted by the profile) are
+    broadcast, listed under every day their interval touches, so the readings do not move; above
+    that both sides are merged along time (`merge_as_of`). A reading without a time, or before
+    the first weather row, keeps NULLs; a weather row without a time matches nothing.
     """
+    small = profile.rows <= settings.weather_broadcast_rows
     values = [c for c in weather.columns if c != "weather_time"]
     named = [F.col(c).alias(f"{c}_weather") for c in values]
     ts = F.col("measured_at_utc")
     if profile.daily:
         days = weather.select(F.to_date("weather_time").alias("_day"), *named)
-        out = df.withColumn("_day", F.to_date(ts)).join(_maybe_broadcast(days, profile.rows), "_day", "left")
+        out = df.withColumn("_day", F.to_date(ts)).join(F.broadcast(days) if small else days, "_day", "left")
         return out.withColumnRenamed("_day", MATCH_KEY)
+    if not small:
+        found = merge_as_of(df, weather.select("weather_time", *named), "measured_at_utc", "weather_time", settings.block_rows)
+        return found.withColumnRenamed("weather_time", MATCH_KEY)
     last = F.lit(profile.last_day)
-    # the weather table is one series with one row per instant
+    # the weather table is one series with one row per instant, and small here
     until = F.lead("weather_time").over(Window.partitionBy(F.lit(0)).orderBy("weather_time"))
     spans = weather.select(F.col("weather_time"), until.alias("_until"), *named).withColumn(
         "_day", F.explode(F.sequence(F.to_date("weather_time"), F.coalesce(F.to_date("_until"), last))))
     left = df.withColumn("_day", F.least(F.to_date(ts), last))
-    right = _maybe_broadcast(spans, profile.rows)
+    right = F.broadcast(spans)
     hit = (
         (left["_day"] == right["_day"]) & (left["measured_at_utc"] >= right["weather_time"])
         & (right["_until"].isNull() | (left["measured_at_utc"] < right["_until"]))
@@ -72,11 +74,31 @@ def match_weather(df: DataFrame, weather: DataFrame, profile: WeatherProfile) ->
     return left.join(right, hit, "left").drop("_day", "_until").withColumnRenamed("weather_time", MATCH_KEY)
 
 
+def merge_as_of(df: DataFrame, right: DataFrame, at: str, right_at: str, block_rows: int = DEFAULTS.block_rows) -> DataFrame:
+    """Each row of `df` with the columns of the last row of `right` at or before its time.
+
+    Both sides are put into one global order of time, with right rows first at equal times, and
+    the last right row is carried forward, over the borders of range partitions too. Nothing is
+    broadcast but one row a partition, and rows of one instant are spread by a salt, so neither
+    a hot day nor a hot instant makes a large task. Of right rows with equal times one is taken.
+    Rows of `df` without a time get NULLs; right rows without a time match nothing.
+    """
+    mine = [F.col(c) for c in df.columns]
+    theirs = [F.col(c) for c in right.columns]
+    left_type, right_type = df.select(F.struct(*mine)).schema[0].dataType, right.select(F.struct(*theirs)).schema[0].dataType
+    both = df.select(
+        F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*mine).alias("_row"), F.lit(None).cast(right_type).alias("_from"),
+    ).unionAll(right.filter(F.col(right_at).isNotNull()).select(
+        F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left_type).alias("_row"), F.struct(*theirs).alias("_from")))
+    carried = global_last_known(both, [F.col("_at"), F.col("_side")], {"_match": F.col("_from")}, block_rows)
+    return carried.filter("_side = 1").select("_row.*", "_match.*")
+
+
 def merge_weather(
     df: DataFrame, weather: DataFrame, settings: Settings = DEFAULTS, profile: WeatherProfile | None = None
 ) -> DataFrame:
     """Join the weather table; its values replace existing columns, or only fill their gaps."""
-    out = match_weather(df, weather, profile or profile_weather(weather))
+    out = match_weather(df, weather, profile or profile_weather(weather), settings)
     new = {}
     for name in (*WEATHER_COLUMNS, *WEATHER_EXTRAS):
         source = f"{name}_weather"
@@ -108,11 +130,10 @@ def ensure_weather_columns(df: DataFrame, settings: Settings = DEFAULTS) -> Data
     out = out.withColumn("precipitation", F.coalesce("precipitation", F.lit(0.0)))
     carried = [c for c in WEATHER_COLUMNS if c != "precipitation"]
     if MATCH_KEY in df.columns and settings.weather_override:
-        seen = out.groupBy(MATCH_KEY).agg(*[F.first(c).alias(c) for c in carried])
+        seen = stored(out.filter(F.col(MATCH_KEY).isNotNull()).groupBy(MATCH_KEY).agg(*[F.first(c).alias(c) for c in carried]))
         # ordered by the weather's own instants: one row per weather row at most
-        before = Window.partitionBy(F.lit(0)).orderBy(MATCH_KEY).rowsBetween(Window.unboundedPreceding, 0)
-        filled = seen.filter(F.col(MATCH_KEY).isNotNull()).select(
-            MATCH_KEY, *[F.last(c, ignorenulls=True).over(before).alias(f"_f_{c}") for c in carried])
+        filled = global_last_known(seen, [F.col(MATCH_KEY)], {f"_f_{c}": F.col(c) for c in carried}, settings.block_rows)
+        filled = filled.drop(*carried)
         out = out.join(filled, MATCH_KEY, "left")
         out = out.withColumns({c: F.col(f"_f_{c}") for c in carried})
         return out.drop(MATCH_KEY, *[f"_f_{c}" for c in carried])
