@@ -14,7 +14,7 @@ from fillcast.functions.columns import correlation, flag, null_outside
 from fillcast.operators.cleaning import TEMPERATURE_RANGE
 from fillcast.operators.emptying import KEY, time_order
 from fillcast.operators.ordered import (
-    LongSeries, global_last_known, global_running_extreme, over_series, positions, running_extreme, stored)
+    LongSeries, global_last_known, global_running_extreme, merge_as_of, over_series, positions, running_extreme, stored)
 from fillcast.sources.tables import KMH_PER_MS, WEATHER_COLUMNS, WEATHER_EXTRAS
 
 MATCH_KEY = "_weather_key"
@@ -74,26 +74,6 @@ def match_weather(
     return left.join(right, hit, "left").drop("_day", "_until").withColumnRenamed("weather_time", MATCH_KEY)
 
 
-def merge_as_of(df: DataFrame, right: DataFrame, at: str, right_at: str, block_rows: int = DEFAULTS.block_rows) -> DataFrame:
-    """Each row of `df` with the columns of the last row of `right` at or before its time.
-
-    Both sides are put into one global order of time, with right rows first at equal times, and
-    the last right row is carried forward, over the borders of range partitions too. Nothing is
-    broadcast but one row a partition, and rows of one instant are spread by a salt, so neither
-    a hot day nor a hot instant makes a large task. Of right rows with equal times one is taken.
-    Rows of `df` without a time get NULLs; right rows without a time match nothing.
-    """
-    mine = [F.col(c) for c in df.columns]
-    theirs = [F.col(c) for c in right.columns]
-    left_type, right_type = df.select(F.struct(*mine)).schema[0].dataType, right.select(F.struct(*theirs)).schema[0].dataType
-    both = df.select(
-        F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*mine).alias("_row"), F.lit(None).cast(right_type).alias("_from"),
-    ).unionAll(right.filter(F.col(right_at).isNotNull()).select(
-        F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left_type).alias("_row"), F.struct(*theirs).alias("_from")))
-    carried = global_last_known(both, [F.col("_at"), F.col("_side")], {"_match": F.col("_from")}, block_rows)
-    return carried.filter("_side = 1").select("_row.*", "_match.*")
-
-
 def merge_weather(
     df: DataFrame, weather: DataFrame, settings: Settings = DEFAULTS, profile: WeatherProfile | None = None
 ) -> DataFrame:

@@ -38,7 +38,7 @@ def frames(spark, left, right):
 @pytest.mark.parametrize("block_rows", [300, 10**6])
 def test_merge_equals_pandas(spark, block_rows):
     left, right = sides()
-    out = wx.merge_as_of(*frames(spark, left, right), "at", "since", block_rows).orderBy("id").collect()
+    out = ordered.merge_as_of(*frames(spark, left, right), "at", "since", block_rows).orderBy("id").collect()
     want = pd.merge_asof(left.sort_values("at"), right.sort_values("since"), left_on="at", right_on="since").sort_values("id")
     assert len(out) == len(left)
     for r, w in zip(out, want.itertuples(index=False)):
@@ -52,10 +52,10 @@ def test_merge_without_times_or_rows(spark, block_rows):
     left = pd.DataFrame({"id": [1, 2, 3, 3], "at": [pd.NaT, pd.Timestamp("2024-01-01"), pd.Timestamp("2024-01-03"), pd.Timestamp("2024-01-03")]})
     right = pd.DataFrame({"since": [pd.NaT, pd.Timestamp("2024-01-02")], "v": [9.0, 1.0]})
     lefts, rights = frames(spark, left, right)
-    got = wx.merge_as_of(lefts, rights, "at", "since", block_rows).select("id", "v").collect()
+    got = ordered.merge_as_of(lefts, rights, "at", "since", block_rows).select("id", "v").collect()
     assert sorted((r["id"], r["v"]) for r in got if r["v"] is not None) == [(3, 1.0), (3, 1.0)] and len(got) == 4
-    assert [r["v"] for r in wx.merge_as_of(lefts, rights.limit(0), "at", "since", block_rows).collect()] == [None] * 4
-    assert wx.merge_as_of(lefts.limit(0), rights, "at", "since", block_rows).count() == 0
+    assert [r["v"] for r in ordered.merge_as_of(lefts, rights.limit(0), "at", "since", block_rows).collect()] == [None] * 4
+    assert ordered.merge_as_of(lefts.limit(0), rights, "at", "since", block_rows).count() == 0
 
 
 def test_hot_day_and_instant_spread(spark):

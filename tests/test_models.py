@@ -83,30 +83,6 @@ def test_forecasts_follow_a_weekly_pattern(spark):
     assert forecasting.ar_forecasts(df.filter("y IS NULL"), "y").count() == 0
 
 
-def test_hazard_fit_maximises_the_likelihood(spark):
-    rng = np.random.default_rng(2)
-    x = np.round(rng.uniform(0, 84, 400))
-    time = np.round(np.minimum(rng.exponential(np.exp(-0.03 * (x - 40))) * 4, 14) / 0.01) * 0.01
-    time = np.maximum(time, 0.01)
-    event = time < 13.995
-    df = spark.createDataFrame(pd.DataFrame({"duration": time, "event": event, "percent_calculated": x}))
-    fit = survival.fit_hazard(df)
-    z = (x - x.mean()) / x.std()
-    risk = time[:, None] <= time[None, :] + 1e-9
-
-    def objective(b):
-        like = (b * z[event] - np.log(risk[event] @ np.exp(b * z))).sum() / len(x)
-        return like - survival.RIDGE / 2 * b * b
-
-    grid = np.linspace(fit.beta - 0.05, fit.beta + 0.05, 201)
-    assert abs(grid[np.argmax([objective(b) for b in grid])] - fit.beta) < 1e-3
-    assert fit.beta > 0 and fit.steps < 10
-    got = survival.concordance(fit, df).first()[0]
-    comparable = [(i, j) for i in range(400) if event[i] for j in range(400) if time[j] > time[i] or (time[j] == time[i] and not event[j])]
-    right = sum(1.0 if x[i] > x[j] else 0.5 if x[i] == x[j] else 0.0 for i, j in comparable) / len(comparable)
-    assert got == pytest.approx(right, abs=2e-3)
-
-
 def test_kaplan_meier_known_curve(spark):
     df = spark.createDataFrame([(1.0, True), (2.0, False), (3.0, True), (4.0, True)], "duration double, event boolean")
     curve = {r["duration"]: r["survival"] for r in survival.kaplan_meier(df).collect()}
