@@ -10,7 +10,7 @@ from fillcast.catalog.inputs import (
 from fillcast.catalog.registry import part, query
 from fillcast.catalog.splits import held_out
 from fillcast.functions.columns import micros
-from fillcast.operators import baselines, forecasting, metrics, screening, survival
+from fillcast.operators import baselines, forecasting, metrics, resampling, screening, survival
 
 KEYS = "container_id:i measured_at_utc:u"
 SCORES = "n:i rmse:f mae:f wape:f smape:f r2:f"
@@ -48,6 +48,11 @@ def bootstrap_intervals(spark, sf) -> DataFrame:
     return metrics.bootstrap_intervals(predictions(spark, sf))
 
 
+@query("m06c_row_bootstrap", "rmse_ci_lower:f rmse_ci_upper:f mae_ci_lower:f mae_ci_upper:f")
+def row_bootstrap(spark, sf) -> DataFrame:
+    return resampling.row_bootstrap(predictions(spark, sf))
+
+
 @query("m06b_interval_contains_estimate", "rmse_inside:i mae_inside:i", "SELECT 1 AS rmse_inside, 1 AS mae_inside FROM pairs LIMIT 1", ("pairs",))
 def interval_contains_estimate(spark, sf) -> DataFrame:
     both = metrics.metrics_with_intervals(predictions(spark, sf))

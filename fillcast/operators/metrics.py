@@ -102,13 +102,18 @@ def bootstrap_intervals(
     rounds_df = drawn.groupBy(*by, "_round").agg(
         F.sqrt(F.sum(times * F.col("_sq")) / weight).alias("_rmse"),
         (F.sum(times * F.col("_ab")) / weight).alias("_mae"))
+    return replicate_bounds(rounds_df, by, settings)
+
+
+def replicate_bounds(replicates: DataFrame, by: tuple[str, ...], settings: Settings = DEFAULTS) -> DataFrame:
+    """Percentile bounds of `_rmse` and `_mae` over the replicates; NULL where there are too few."""
     tail = (1 - settings.ci_level) / 2
     bounds = []
     for m in ("rmse", "mae"):
         for side, q in (("lower", tail), ("upper", 1 - tail)):
             value = F.percentile(f"_{m}", F.lit(q))
             bounds.append(F.when(F.count(f"_{m}") >= MIN_REPLICATES, value).alias(f"{m}_ci_{side}"))
-    return rounds_df.groupBy(*by).agg(*bounds)
+    return replicates.groupBy(*by).agg(*bounds)
 
 
 def poisson_one(hashed: Column) -> Column:
