@@ -128,8 +128,10 @@ SIMILAR_SHINGLE_WORDS = 5
 #: 2 in 10,000 pairs do, whatever was changed in the text.
 BANDS, BAND_ROWS = 16, 4
 #: Rounds in which all members of a bucket are compared with one of them, and the size up to which buckets that are
-#: still not one group are then compared pair by pair.
+#: still not one group are then compared pair by pair; larger ones are joined on rare shingles (see `_rare_pairs`).
 ROUNDS, SMALL_BUCKET = 2, 16
+#: Texts of a tile when the texts of a shingle are paired.
+_TILE = 1_000
 #: Shingles whose minimum hashes are taken at once.
 _SLICE = 20_000
 
@@ -216,9 +218,35 @@ def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _rare_pairs(members: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+    """Pairs (x, y) of `members` in different groups, with all pairs whose similarity is `least` or more among them.
+
+    Shingles are put in one order, those of the fewest texts first. Two texts that similar share one of the first
+    `size - least * size + 1` shingles of both, so texts are joined on these, and what they share there at the latest
+    bounds their similarity. The texts of the largest group of a shingle are paired with those of other groups only.
+    """
+    own = members.distinct().join(shingles, "node").select("node", "size", "root", F.explode("own").alias("s"))
+    own = stored(own)
+    often = own.groupBy("s").agg(F.count("*").alias("n"))
+    ranked = own.join(often, "s").groupBy("node", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("own"))
+    first = F.expr(f"slice(own, 1, CAST(size - ceil({least} * size - 1e-6) + 1 AS INT))")
+    entries = ranked.select("node", "size", "root", F.posexplode(first).alias("at", "e")).filter("e.n > 1")
+    entries = stored(entries.select("node", "size", "root", "at", F.col("e.s").alias("s")))
+    largest = entries.groupBy("s", "root").agg(F.count("*").alias("n")).groupBy("s").agg(
+        F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.max("n").alias("of_top")).filter("of_top < n")
+    entries = stored(entries.join(largest.select("s", "top", F.expr(f"CAST(ceil((n - of_top) / {_TILE}) AS INT)").alias("tiles")), "s"))
+    few = entries.filter("root <> top").withColumn("tile", F.expr("pmod(xxhash64(node), tiles)").cast("int"))
+    every = entries.withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
+    met = few.alias("x").join(every.alias("y"), F.expr(
+        "x.s = y.s AND x.tile = y.tile AND x.root <> y.root AND (y.root = y.top OR x.node < y.node)"
+        f" AND {_similar_sizes(least, 'x.size', 'y.size')}"
+        f" AND least(x.size - x.at, y.size - y.at) * (1 + {least}) >= {least} * (x.size + y.size) - 1e-6"))
+    return met.select(F.expr("least(x.node, y.node) AS x"), F.expr("greatest(x.node, y.node) AS y")).distinct()
+
+
 def near_duplicate_groups(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SIMILAR_SHINGLE_WORDS, least: float = MIN_SIMILARITY,
-    rounds: int = ROUNDS, exact: bool = False,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Rows (__id, __h1, __h2, group, first): every document key with its group, and whether it comes first.
 
@@ -227,9 +255,8 @@ def near_duplicate_groups(
     found. Two kinds of candidates are checked: texts whose SimHash fingerprints link through popcount cells, and
     texts that meet in a bucket of minimum hashes. In each round the members of a bucket are compared with the member
     that meets the most texts, if they are not in one group with it yet, so a round makes a pair a member at most,
-    however large the bucket. Small buckets that are not one group after all rounds are then compared pair by pair;
-    with `exact` all are, at a cost that grows with the square of a bucket of unlike texts. Without it a link can be
-    missed only between texts that are similar to none of the leads of a large bucket.
+    however large the bucket. Buckets that are not one group after all rounds are then joined exactly: small ones pair
+    by pair, the texts of larger ones on their rarest shingles. So no two similar texts that meet in a bucket stay apart.
     The first of a group has its smallest (id, text hash); NULL ids come last.
     """
     rows = keyed(docs.select(id_col, text), id_col, text)
@@ -284,10 +311,15 @@ def near_duplicate_groups(
         members = met.select("b", "node", "size", "place")
     placed = _labelled(members, roots)
     mixed = placed.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
-    open_ = stored(placed.join(mixed if exact else mixed.filter(F.col("n") <= SMALL_BUCKET), "b").select("b", "node", "size", "root"))
-    rest = open_.alias("x").join(open_.alias("y"), F.expr(
+    open_ = stored(placed.join(mixed, "b").select("b", "node", "size", "root", "n"))
+    small = open_.filter(F.col("n") <= SMALL_BUCKET)
+    rest = small.alias("x").join(small.alias("y"), F.expr(
         "x.b = y.b AND x.node < y.node AND x.root <> y.root AND " + _similar_sizes(least, "x.size", "y.size")))
-    rest = rest.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    rest = rest.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    rare = _rare_pairs(open_.filter(F.col("n") > SMALL_BUCKET).select("node", "size", "root"), shingles, least)
+    # Pairs may have been tried in either order.
+    done = tried.select(F.expr("least(x, y) AS x"), F.expr("greatest(x, y) AS y"))
+    rest = rest.unionByName(rare).distinct().join(done, ["x", "y"], "left_anti")
     found = links(stored(rest))
     roots = connected_components(linked.unionByName(found) if linked is not None else found)
     grouped = texts.join(roots, "node", "left").select("w1", "w2", F.coalesce("root", "node").alias("group"), "first")

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on hard rows: NULLs, empty and long texts, repeats, name clashes."""
 
 import hashlib
+import itertools
 import os
 import random
 import sys
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from fillcast.llm import decontamination, secrets, suffix, toxicity  # noqa: E402
+from fillcast.llm import decontamination, secrets, simhash, suffix, toxicity  # noqa: E402
 from fillcast.llm.components import connected_components  # noqa: E402
 from fillcast.llm.decontamination import find_contamination, remove_spans, without_contaminated  # noqa: E402
 from fillcast.llm.lines import drop_frequent_lines  # noqa: E402
@@ -182,6 +183,29 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert len(links) > 100 and len(want) > 40
 
 
+def test_near_duplicates_of_a_large_mixed_bucket(spark, monkeypatch):
+    """Pairs that meet only in a bucket of many texts unlike each other, of which no lead is similar to them."""
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: [1] if len(hashes) else [])
+    rng = random.Random(33)
+    words = iter(f"w{k}" for k in range(1_000_000))
+    text = lambda n: [next(words) for _ in range(n)]
+    blocks, texts = [text(40) for _ in range(10)], []
+    for _ in range(2):
+        for chosen in itertools.combinations(blocks, 7):
+            texts.append(" ".join([w for block in chosen for w in block] + text(15)))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[k] for k in order]
+    own = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])]
+    root = brute.components(list(range(len(texts))), links)
+    assert len(links) >= 120 == len(set(root.values()))
+    rows = near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    group = {r["__id"]: r["group"] for r in rows}
+    assert all(group[i] == group[j] for i, j in links)
+    assert len(set(group.values())) == len(set(root.values()))
+
+
 def test_near_duplicates_recall_by_kind_of_change(spark):
     """Edits of one base text: many copies unlike each other but like the base, and one pair of each kind of change."""
     rng = random.Random(21)
