@@ -14,7 +14,7 @@ from fillcast.functions.columns import correlation, flag, null_outside
 from fillcast.operators.cleaning import TEMPERATURE_RANGE
 from fillcast.operators.emptying import KEY, time_order
 from fillcast.operators.ordered import (
-    LongSeries, global_last_known, global_running_extreme, merge_as_of, over_series, positions, running_extreme, stored)
+    LongSeries, global_last_known, merge_as_of, over_series, positions, running_extreme, stored)
 from fillcast.sources.tables import KMH_PER_MS, WEATHER_COLUMNS, WEATHER_EXTRAS
 
 MATCH_KEY = "_weather_key"
@@ -119,13 +119,9 @@ def ensure_weather_columns(df: DataFrame, settings: Settings = DEFAULTS) -> Data
         return out.drop(MATCH_KEY, *[f"_f_{c}" for c in carried])
     out = out.drop(MATCH_KEY)
     ts = F.col("measured_at_utc")
-    instants = out.groupBy(ts).agg(*[
-        F.max(F.when(F.col(c).isNotNull(), F.struct(ts.alias("at"), F.col(c).alias("value")))).alias(f"_l_{c}")
-        for c in carried])
-    for c in carried:
-        instants = global_running_extreme(
-            instants, [ts], F.col(f"_l_{c}"), f"_f_{c}", exclusive=True, block_rows=settings.block_rows)
-    instants = instants.select("measured_at_utc", *[F.col(f"_f_{c}.value").alias(f"_f_{c}") for c in carried])
+    instants = stored(out.groupBy(ts).agg(*[F.max(c).alias(c) for c in carried]))
+    instants = global_last_known(
+        instants, [ts], {f"_f_{c}": F.col(c) for c in carried}, settings.block_rows, exclusive=True).drop(*carried)
     out = out.join(instants, "measured_at_utc", "left")
     out = out.withColumns({c: F.coalesce(c, f"_f_{c}") for c in carried})
     return out.drop(*[f"_f_{c}" for c in carried])

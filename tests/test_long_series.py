@@ -135,3 +135,23 @@ def test_copies_of_one_row_are_spread_over_chunks(spark):
     assert len(sizes) > 3 and max(sizes) < 1500
     marked = split.mark_newest(copies, 0.1, long=long).groupBy("part").count().collect()
     assert {r["part"]: r["count"] for r in marked} == {"train": 2700, "val": 300}
+
+
+def test_readings_are_filled_in_one_pass(spark, monkeypatch):
+    """Values of earlier instants only, all columns along one range exchange."""
+    rows = [(k, None if k % 50 == 0 else f"2024-01-01 00:{k // 3 % 60:02d}:00", float(k) if k % 7 == 0 else None) for k in range(180)]
+    given = spark.createDataFrame(rows, "id long, at string, temperature double").withColumn("measured_at_utc", F.to_timestamp_ntz("at"))
+    calls, saved = [], ordered.saved
+    monkeypatch.setattr(ordered, "saved", lambda df: calls.append(1) or saved(df))
+    known = {}
+    for _, at, value in rows:
+        if value is not None:
+            known[at or ""] = max(value, known.get(at or "", value))
+    want = {}
+    for k, at, value in rows:
+        earlier = [t for t in known if at is not None and t < at]
+        want[k] = value if value is not None else known[max(earlier)] if earlier else None
+    for block_rows in (1_000, 8):
+        filled = wx.ensure_weather_columns(given, DEFAULTS.with_(block_rows=block_rows)).collect()
+        assert {r["id"]: r["temperature"] for r in filled} == want
+    assert len(calls) == 2
