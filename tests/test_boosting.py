@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,30 @@ def test_parzen_search_is_repeatable():
         return history
 
     assert run() == run()
+
+
+def test_rows_go_down_a_tree_together_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    tree = boosting.Tree()
+    tree.add(0.0, 1.0)
+    for node in range(40):
+        tree.feature[node], tree.bin[node], tree.threshold[node] = int(rng.integers(3)), int(rng.integers(200)), float(rng.normal())
+        tree.missing_left[node] = bool(rng.integers(2))
+        tree.left[node], tree.right[node] = tree.add(0.0, 1.0), tree.add(0.0, 1.0)
+    bins = rng.integers(0, 256, (3, 500)).astype(np.uint8)
+    x = np.where(rng.random((3, 500)) < 0.2, np.nan, rng.normal(size=(3, 500)))
+    together = tree.descend(bins, bins == boosting.MISSING, True), tree.descend(x, np.isnan(x), False)
+    monkeypatch.setattr(boosting, "WIDE_TREE", 0)
+    alone = tree.descend(bins, bins == boosting.MISSING, True), tree.descend(x, np.isnan(x), False)
+    for a, b in zip(together, alone, strict=True):
+        assert a.tolist() == b.tolist() and len(set(a.tolist())) > 10
+
+
+def test_a_pass_reads_one_value_a_row(spark):
+    rows = spark.createDataFrame([(1.5, False, 7, 0.0, None), (-2.0, True, -8, 5.0, 1.0)], "y double, held boolean, u bigint, a double, b double")
+    edges = [np.array([1.0]), np.array([0.5, 2.0])]
+    packed = boosting._binned(rows.select("y", "held", "u", F.expr("coalesce(a, double('NaN'))"), F.expr("coalesce(b, double('NaN'))")), edges)
+    for kind in (pa.binary(), pa.large_binary()):
+        batch = pa.RecordBatch.from_arrays([pa.array([None, *[r["r"] for r in packed.collect()]], kind)[1:]], names=["r"])
+        found = sorted((r["y"].item(), r["u"].item(), r["held"].item(), r["x"].tolist()) for r in boosting._records(batch, 2))
+        assert found == [(-2.0, -8, 1, [1, 1]), (1.5, 7, 0, [0, boosting.MISSING])]
