@@ -151,3 +151,9 @@ def test_settings_are_frozen():
     with pytest.raises(Exception):
         DEFAULTS.seed = 1
     assert DEFAULTS.with_(seed=1).seed == 1 and DEFAULTS.seed == 42
+
+
+def test_a_temporal_split_is_marked_once(spark):
+    rows = spark.range(300).selectExpr("id % 7 AS container_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS measured_at_utc", "id")
+    for side in split.temporal_split(rows):
+        assert "Window" not in side._jdf.queryExecution().optimizedPlan().toString()
