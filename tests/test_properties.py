@@ -154,6 +154,6 @@ def test_settings_are_frozen():
 
 
 def test_a_temporal_split_is_marked_once(spark):
-    rows = spark.range(300).selectExpr("id % 7 AS container_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS measured_at_utc", "id")
+    rows = spark.range(300).selectExpr("id % 7 AS container_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS measured_at_utc", "double(id % 100) AS percent_calculated")
     for side in split.temporal_split(rows):
         assert "Window" not in side._jdf.queryExecution().optimizedPlan().toString()
