@@ -6,6 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fillcast.operators import arima, forecasting, metrics, model, screening, survival
+from fillcast.operators.boosting import BoostedTrees, Tree
+from fillcast.operators.ordered import local_table
+from fillcast.plans import tables
+from fillcast.plans.experiments import Result
 
 SMALL = {"maxIter": 8, "maxDepth": 3}
 
@@ -119,3 +123,26 @@ def test_forecasts_take_every_container(spark):
     pdf = pd.concat([pd.DataFrame({"container_id": c, "measured_at_utc": t, "y": 40 + 10 * np.sin(np.arange(60) / 3 + c)}) for c in range(55)])
     found = forecasting.ar_forecasts(spark.createDataFrame(pdf), "y")
     assert found.select("container_id").distinct().count() == 55
+
+
+def test_predictions_are_made_once_a_row(spark):
+    """A condition on the prediction must not score the rows once more, in a second Python worker of the task."""
+    tree = Tree()
+    tree.add(50.0, 1.0)
+    fitted = model.TrainedModel("balanced", BoostedTrees(("a",), 0.0, (tree,)), (0.0, 100.0))
+    rows = spark.range(20).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS actual")
+    scored = metrics.complete_pairs(fitted.predict(rows)).agg(metrics.rmse(), F.count(F.lit(1)))
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert scored.first()[1] == 20
+
+
+def test_tables_of_few_rows_need_no_python_on_the_executors(spark):
+    schema = "model string, number int, value double, params map<string,string>"
+    rows = [("balanced", 1, 2.5, {"b": "1", "a": "x"}), (None, None, None, None)]
+    found = local_table(spark, rows, schema)
+    assert [tuple(r) for r in found.collect()] == rows and found.schema == spark.createDataFrame([], schema).schema
+    assert local_table(spark, [], schema).isEmpty()
+    segment = {"low": {"tasks": {"A": Result("A", "m", {"m": {"n": 3, "rmse": 1.0, "mae": 2.0, "wape": None, "smape": 4.0, "r2": float("nan")}}, {}, found, {})}}}
+    table = tables.capacity_table(spark, segment)
+    assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+    assert [str(tuple(r)) for r in table.collect()] == [str(("low", "exp_A", 3, 1.0, 2.0, 4.0, float("nan")))]
