@@ -5,11 +5,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fillcast.config import DEFAULTS
 from fillcast.operators import arima, forecasting, metrics, model, screening, survival
 from fillcast.operators.boosting import BoostedTrees, Tree
+from fillcast.operators.cleaning import clean_readings
 from fillcast.operators.ordered import local_table
-from fillcast.plans import tables
-from fillcast.plans.experiments import Result
+from fillcast.plans import features, studies, tables
+from fillcast.plans.experiments import Result, Training
 
 SMALL = {"maxIter": 8, "maxDepth": 3}
 
@@ -146,3 +148,27 @@ def test_tables_of_few_rows_need_no_python_on_the_executors(spark):
     table = tables.capacity_table(spark, segment)
     assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
     assert [str(tuple(r)) for r in table.collect()] == [str(("low", "exp_A", 3, 1.0, 2.0, 4.0, float("nan")))]
+
+
+def test_event_table_is_made_once_for_all_steps(spark, monkeypatch):
+    """Steps share one stored table; its frequent containers are those that a filter before the features keeps."""
+    readings = spark.range(8 * 60).selectExpr(
+        "id % 8 AS container_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id DIV 8 AS INT) * 10) AS measured_at_utc",
+        "CAST(CASE WHEN (id DIV 8) % (3 + id % 8) = 0 THEN 5 ELSE 60 + id % 30 END AS DOUBLE) AS percent_calculated",
+        "'Bio' AS trash_type", "'1100' AS container_type", "'praha-1' AS district", "CAST(50 AS DOUBLE) AS latitude", "CAST(14 + id % 8 AS DOUBLE) AS longitude")
+    source = features.Source.prepare(clean_readings(readings), settings=DEFAULTS.with_(folds=2, stability_seeds=(1,), min_events=10))
+    made, real = [], features.event_table
+
+    def counted(*args, **kwargs):
+        made.append(1)
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(features, "event_table", counted)
+    one = Training(models=("balanced",), params={"balanced": {"maxIter": 1, "maxDepth": 1}})
+    held_out = spark.createDataFrame([(0,), (3,)], "container_id long")
+    assert studies.cross_validation(source, held_out, one).count() == 2
+    studies.seed_stability(source, one)
+    assert len(made) == 1
+    early, late = real(source, weather=False, min_events=10), screening.keep_frequent(source.events, 10)
+    rows = [sorted(str(r) for r in df.select(*early.columns).collect()) for df in (early, late)]
+    assert rows[0] == rows[1] and 0 < len(rows[0]) < source.events.count()
