@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,16 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillcast.llm.common import with_text_columns
+from fillcast.llm.common import as_bytes, with_text_columns
+from fillcast.operators.ordered import stored
 
 #: Bounds of the sample of labelled rows the model is fitted on.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
+SAMPLE_PARTS = 12
 THRESHOLD = 0.7
 
 _PREFIXES = range(3, 8)
 _LEVELS = 7
 _MIN_DOCS = 3
 _CHUNK = 64
+#: Chunks that the chain's fit looks at together, and texts whose words a task counts together.
+_BLOCK, _TEXTS = 1024, 128
 _CACHE = 300_000
 _token = re.compile(r"\w+")
 
@@ -59,30 +64,31 @@ def _level_of(toxic: int, clean: int, n_toxic: int, n_clean: int) -> int:
     return int(min(_LEVELS - 1, max(0.0, shrunk - 1.0)))
 
 
-def fit_toxicity(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """Fit on (text, label) rows.
+def fit_toxicity(sample: DataFrame, id_col: str = "doc_id") -> ToxicityModel:
+    """Fit on a sample with an id, a text `__t` and a label `__y`; it is read three times, so store it.
 
     Labels are by document, so tokens get theirs from a distance: document frequencies grade words and
     prefixes, and in a toxic document the tokens of its strongest grade are the toxic ones, if the grade is
     over 1; all other tokens are clean. The chain is fitted on these tokens, whole texts in chunks.
+
+    Texts are read and words counted in tasks. The driver gets the graded words and a byte a token.
     """
     model = ToxicityModel()
-    tokens = [_token.findall(text.lower()) for text, _ in rows]
-    labels = np.array([y for _, y in rows], dtype=np.int8)
-    n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
+    n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("__y"), F.lit(0))).first()
+    n_clean = n - n_toxic
     if not n_toxic or not n_clean:
         return model
-    by_word, by_prefix = (Counter(), Counter()), (Counter(), Counter())
-    for own, y in zip(tokens, labels.tolist(), strict=True):
-        kinds = set(own)
-        by_word[y].update(kinds)
-        by_prefix[y].update({f for w in kinds for f in _features(w)})
-    for counts, out in ((by_word, model.words), (by_prefix, model.prefixes)):
-        for f, toxic in counts[1].items():
-            level = _level_of(toxic, counts[0][f], n_toxic, n_clean)
-            if level:
-                out[f] = level
-    levels = [np.array([model.level(w) for w in own], dtype=np.int8) for own in tokens]
+    # Looser than `_level_of`, which grades what is left: a grade needs shrunk log-odds of 2.
+    odds = F.log((F.col("toxic") + 0.1) / (n_toxic + 0.2)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
+    counted = _document_counts(sample).groupBy("prefix", "feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    graded = counted.filter((F.col("toxic") >= _MIN_DOCS) & (odds * F.col("toxic") / (F.col("toxic") + 2.0) > 1.9))
+    for r in graded.collect():
+        level = _level_of(r["toxic"], r["clean"], n_toxic, n_clean)
+        if level:
+            (model.prefixes if r["prefix"] else model.words)[r["feature"]] = level
+    rows = sorted(_token_levels(sample, model, id_col).collect(), key=lambda r: r[id_col])
+    labels = np.array([r["__y"] for r in rows], dtype=np.int8)
+    levels = [np.frombuffer(r["__levels"], dtype=np.int8) for r in rows]
     marks = []
     for own, y in zip(levels, labels.tolist(), strict=True):
         top = int(own.max()) if y and own.size else 0
@@ -92,6 +98,43 @@ def fit_toxicity(rows: list[tuple[str, int]]) -> ToxicityModel:
     return model
 
 
+def _document_counts(sample: DataFrame) -> DataFrame:
+    """Rows (prefix, feature, toxic, clean): how many toxic and other texts of a part hold a word, or a prefix of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(at, _TEXTS)
+                counts = (Counter(), Counter())
+                for raw, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                    kinds = set(_token.findall(raw.decode("utf-8", "replace").lower()))
+                    counts[y].update((False, w) for w in kinds)
+                    counts[y].update((True, f) for f in {f for w in kinds for f in _features(w)})
+                found = [*(counts[0] | counts[1])]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([k for k, _ in found], pa.bool_()), pa.array([f for _, f in found], pa.string()),
+                    pa.array([counts[1][f] for f in found], pa.int64()), pa.array([counts[0][f] for f in found], pa.int64()),
+                ], names=["prefix", "feature", "toxic", "clean"])
+
+    return sample.select("__t", "__y").mapInArrow(run, "prefix boolean, feature string, toxic long, clean long")
+
+
+def _token_levels(sample: DataFrame, model: ToxicityModel, id_col: str) -> DataFrame:
+    """The sample's ids and labels with `__levels`: the evidence level of each token of the text, a byte each."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        level = shared.value.level
+
+        def compute(texts: list[bytes]) -> list[pa.Array]:
+            own = (_token.findall(raw.decode("utf-8", "replace").lower()) for raw in texts)
+            return [pa.array([bytes(map(level, words)) for words in own], pa.binary())]
+
+        return compute
+
+    return with_text_columns(sample, "__t", [T.StructField("__levels", T.BinaryType())], start, keep=[id_col, "__y"])
+
+
 def _chunks(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     pieces = [p[i:i + _CHUNK] for p in parts for i in range(0, len(p), _CHUNK)]
     out = np.zeros((len(pieces), _CHUNK), dtype=np.int8)
@@ -119,36 +162,15 @@ def _fit_chain(model: ToxicityModel, levels: list[np.ndarray], marks: list[np.nd
     seen = np.zeros_like(w)
     real = mask & (y == 1)
     for k in range(_LEVELS):
-        seen[k] = (weight[:, None] * (real & (x == k))).sum()
+        seen[k] = weight @ (real & (x == k)).sum(axis=1)
     both = mask[:, 1:] & mask[:, :-1]
     for a in (0, 1):
         for b in (0, 1):
-            seen[_LEVELS + 2 * a + b] = (weight[:, None] * (both & (y[:, :-1] == a) & (y[:, 1:] == b))).sum()
+            seen[_LEVELS + 2 * a + b] = weight @ (both & (y[:, :-1] == a) & (y[:, 1:] == b)).sum(axis=1)
     for step in range(1, rounds + 1):
-        e = np.zeros((*x.shape, 2))
-        e[..., 1] = w[:_LEVELS][x]
-        e[~mask] = 0.0
-        e = np.exp(e)
-        t = np.exp(w[_LEVELS:].reshape(2, 2))
-        fwd, back = np.zeros_like(e), np.ones_like(e)
-        fwd[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-        for i in range(1, _CHUNK):
-            z = (fwd[:, i - 1] @ t) * e[:, i]
-            z /= z.sum(axis=1, keepdims=True)
-            fwd[:, i] = np.where(mask[:, i, None], z, fwd[:, i - 1])
-        for i in range(_CHUNK - 2, -1, -1):
-            z = (e[:, i + 1] * back[:, i + 1]) @ t.T
-            z /= z.sum(axis=1, keepdims=True)
-            back[:, i] = np.where(mask[:, i + 1, None], z, 1.0)
-        p = fwd * back
-        p /= p.sum(axis=2, keepdims=True)
         expected = np.zeros_like(w)
-        on = weight[:, None] * p[..., 1] * mask
-        for k in range(_LEVELS):
-            expected[k] = on[x == k].sum()
-        pair = fwd[:, :-1, :, None] * t[None, None] * (e[:, 1:] * back[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        expected[_LEVELS:] = (pair * (weight[:, None] * both)[:, :, None, None]).sum(axis=(0, 1)).reshape(-1)
+        for i in range(0, len(x), _BLOCK):
+            expected += _expected(w, x[i:i + _BLOCK], mask[i:i + _BLOCK], weight[i:i + _BLOCK])
         ridge = np.concatenate([0.5 * w[:_LEVELS], 5.0 * w[_LEVELS:]])
         grad = (seen - expected - ridge) / n
         first = 0.9 * first + 0.1 * grad
@@ -157,6 +179,36 @@ def _fit_chain(model: ToxicityModel, levels: list[np.ndarray], marks: list[np.nd
     model.emission, model.transition = w[:_LEVELS], w[_LEVELS:].reshape(2, 2)
 
 
+def _expected(w: np.ndarray, x: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """What the chain with weights `w` expects of toxic tokens by level and of pairs of states, over some chunks."""
+    e = np.zeros((*x.shape, 2))
+    e[..., 1] = w[:_LEVELS][x]
+    e[~mask] = 0.0
+    e = np.exp(e)
+    t = np.exp(w[_LEVELS:].reshape(2, 2))
+    fwd, back = np.zeros_like(e), np.ones_like(e)
+    fwd[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+    for i in range(1, _CHUNK):
+        z = (fwd[:, i - 1] @ t) * e[:, i]
+        z /= z.sum(axis=1, keepdims=True)
+        fwd[:, i] = np.where(mask[:, i, None], z, fwd[:, i - 1])
+    for i in range(_CHUNK - 2, -1, -1):
+        z = (e[:, i + 1] * back[:, i + 1]) @ t.T
+        z /= z.sum(axis=1, keepdims=True)
+        back[:, i] = np.where(mask[:, i + 1, None], z, 1.0)
+    p = fwd * back
+    p /= p.sum(axis=2, keepdims=True)
+    expected = np.zeros_like(w)
+    on = weight[:, None] * p[..., 1] * mask
+    for k in range(_LEVELS):
+        expected[k] = on[x == k].sum()
+    both = mask[:, 1:] & mask[:, :-1]
+    pair = fwd[:, :-1, :, None] * t[None, None] * (e[:, 1:] * back[:, 1:])[:, :, None, :]
+    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    expected[_LEVELS:] = (pair * (weight[:, None] * both)[:, :, None, None]).sum(axis=(0, 1)).reshape(-1)
+    return expected
+
+
 def marginals(model: ToxicityModel, at: list[int], levels: list[int], n: int) -> list[float]:
     """Probability of the toxic state at each token with evidence (positions `at`) in a text of n tokens.
 
@@ -231,14 +283,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def training_rows(
+def training_sample(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
     rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES,
-) -> list[tuple[str, int]]:
-    """At most `rows` labelled, not held-out texts of at most `size` bytes together, by order of a hash of the id.
+) -> DataFrame:
+    """At most `rows` labelled, not held-out texts (`__t`, with `__y`) of at most `size` bytes together, by order of a hash of the id.
 
-    An id that repeats gives one text, that with the smallest hash. Ids, hashes and lengths are looked at
-    first, so a very long text never reaches the driver; whole texts come.
+    An id that repeats gives one text, that with the smallest hash. The driver looks at ids, hashes and
+    lengths only; no text comes to it.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(
         F.max(label).cast("int").alias("__y"))
@@ -251,14 +303,20 @@ def training_rows(
         if r["__n"] <= left:
             left -= r["__n"]
             wanted.append((r[id_col], r["__h"], r["__y"]))
-    if not wanted:
-        return []
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = F.broadcast(spark.createDataFrame(wanted, f"`{id_col}` {kind}, __h long, __y int"))  # at most `rows` rows
     found = docs.select(id_col, body.alias("__t"), F.xxhash64(body).alias("__h")).join(chosen, [id_col, "__h"])
-    texts = found.groupBy(id_col).agg(F.min("__t").alias("__t"), F.first("__y").alias("__y"))
-    return [(r["__t"], r["__y"]) for r in sorted(texts.collect(), key=lambda r: r[id_col])]
+    return found.repartition(SAMPLE_PARTS, id_col).groupBy(id_col).agg(F.min("__t").alias("__t"), F.first("__y").alias("__y"))
+
+
+def training_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
+    rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES,
+) -> list[tuple[str, int]]:
+    """The texts and labels of the training sample, in order of their ids; to look at: the fit leaves texts in tasks."""
+    found = training_sample(docs, labels, id_col, text, label, rows, size).collect()
+    return [(r["__t"], r["__y"]) for r in sorted(found, key=lambda r: r[id_col])]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -312,7 +370,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    return fit_toxicity(training_rows(docs, labels, id_col, text, label))
+    return fit_toxicity(stored(training_sample(docs, labels, id_col, text, label)), id_col)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -384,6 +384,39 @@ def test_toxicity_training_takes_one_text_an_id(spark):
     assert sum(len(t) for t, _ in toxicity.training_rows(df, known, size=40)) <= 40
 
 
+def test_toxicity_fit_leaves_texts_in_tasks(spark):
+    """Grades are those of a plain count, and the driver's memory is a small part of what the words take."""
+    import math
+    import tracemalloc
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+        rows.append((i, " ".join(words + ["Vile", "zorg" + words[0]] * (i % 4 == 0))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    taken = toxicity.training_rows(df, labels)
+    tracemalloc.start()
+    model = toxicity.train_toxicity(df, labels)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert sum(len(t) for t, _ in taken) > 4e6 and peak < 25, peak  # 67 MB with the words in the driver
+    counts = {}
+    for t, y in taken:
+        kinds = set(t.lower().split())
+        for f in {("words", w) for w in kinds} | {("prefixes", w[:n]) for w in kinds for n in range(3, 8) if n <= len(w)}:
+            counts.setdefault(f, [0, 0])[y] += 1
+    n = [sum(y == k for _, y in taken) for k in (0, 1)]
+    graded = {"words": {}, "prefixes": {}}
+    for (kind, f), (clean, toxic) in counts.items():
+        odds = math.log((toxic + 0.1) / (n[1] + 0.2)) - math.log((clean + 0.5) / (n[0] + 1.0))
+        if toxic >= 3 and (level := int(min(6, odds * toxic / (toxic + 2) - 1))) > 0:
+            graded[kind][f] = level
+    assert model.words == graded["words"] and model.prefixes == graded["prefixes"]
+    assert model.words["vile"] > 1 and model.prefixes["zorg"] > 1 and model.level("zorgxy") > 1
+
+
 def test_marginals_equal_a_plain_chain():
     import numpy as np
 
