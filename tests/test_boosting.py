@@ -121,6 +121,33 @@ def test_hard_tables(spark):
     assert learned.base == 5.0 and len(learned.trees) in (0, 3)
 
 
+@pytest.mark.parametrize("s", [
+    TreeSettings(rounds=12, step=0.2, depth=5, least_rows=3, row_share=0.8, column_share=0.7, patience=5),
+    TreeSettings(rounds=12, step=0.2, depth=0, leaves=31, least_rows=4, l2=0.1, patience=5)], ids=["levels", "leaves"])
+def test_a_fit_in_one_task_equals_the_passes(data, monkeypatch, s):
+    df = data[3]
+    one = boosting.fit_trees(df, COLUMNS, "y", F.col("held"), s, seed=3, keys=["id"])
+    monkeypatch.setattr(boosting, "TASK_BYTES", 0)
+    passes = boosting.fit_trees(df.repartition(3), COLUMNS, "y", F.col("held"), s, seed=3, keys=["id"])
+    assert len(one.trees) > 5 and one.losses == pytest.approx(passes.losses)
+    for a, b in zip(one.trees, passes.trees, strict=True):
+        for name in ("feature", "bin", "threshold", "missing_left", "left", "right", "cover"):
+            assert getattr(a, name) == getattr(b, name)
+        assert a.value == pytest.approx(b.value, abs=1e-9) and a.gain == pytest.approx(b.gain)
+
+
+def test_a_short_table_is_fitted_in_one_job(data):
+    """300 rounds of passes would be thousands of jobs."""
+    df = data[3]
+    context = df.sparkSession.sparkContext
+    context.setJobGroup("short", "")
+    try:
+        fitted = boosting.fit_trees(df, COLUMNS, "y", F.lit(False), TreeSettings(rounds=300, depth=2))
+        assert len(fitted.trees) == 300 and len(context.statusTracker().getJobIdsForGroup("short")) < 20
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_bins_are_few_and_ordered():
     edges = boosting.bin_edges(np.concatenate([np.arange(5000.0), [np.nan] * 10]))
     assert len(edges) < MISSING and (np.diff(edges) > 0).all()
