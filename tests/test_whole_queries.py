@@ -3,6 +3,7 @@
 import pytest
 
 from fillcast.catalog import REGISTRY, models
+from fillcast.config import DEFAULTS
 from fillcast.operators import model
 from fillcast.operators.boosting import BoostedTrees
 
@@ -30,3 +31,8 @@ def fits(spark, monkeypatch):
 def test_all_presets_are_trained_whole(spark, fits):
     assert REGISTRY["l01_train_and_evaluate"].run(spark, "").count() == 3
     assert sorted(map(str, fits)) == sorted(str(model.tree_settings(p)) for p in model.PRESETS.values())
+
+
+def test_permutation_importance_is_of_whole_models(spark, fits):
+    assert REGISTRY["l08_permutation_importance"].run(spark, "").count() == len(models.FEATURES)
+    assert fits == [model.tree_settings(model.PRESETS["balanced"])] * DEFAULTS.folds
