@@ -1,11 +1,16 @@
 """Registered model queries and studies do their whole job: presets as they are, all tasks, presets, seeds and folds."""
 
+import inspect
+
 import pytest
 
-from fillcast.catalog import REGISTRY, models
+from fillcast.catalog import REGISTRY, models, studies
 from fillcast.config import DEFAULTS
 from fillcast.operators import model
 from fillcast.operators.boosting import BoostedTrees
+from fillcast.plans import job, studies as plans
+from fillcast.plans.experiments import run_time_task
+from fillcast.plans.features import Source
 
 
 @pytest.fixture
@@ -36,3 +41,39 @@ def test_all_presets_are_trained_whole(spark, fits):
 def test_permutation_importance_is_of_whole_models(spark, fits):
     assert REGISTRY["l08_permutation_importance"].run(spark, "").count() == len(models.FEATURES)
     assert fits == [model.tree_settings(model.PRESETS["balanced"])] * DEFAULTS.folds
+
+
+@pytest.fixture
+def asked(spark, monkeypatch):
+    """What a study query asks of its plan, by parameter name; the plan is not run."""
+    source = Source(spark.range(1), None, None, None, studies.CHECKED)
+    for name, value in (("_source", source), ("held_out", None), ("stored", None), ("shared_folder", "out"), ("weather_fine", None), ("comparison_table", None)):
+        monkeypatch.setattr(studies, name, lambda *a, value=value, **k: value)
+    monkeypatch.setattr(studies, "raw_readings", lambda *a: spark.sql("SELECT 1 AS container_id, 2 AS humidity"))
+    for table in ("capacity_table", "results_table"):
+        monkeypatch.setattr(studies.tables, table, lambda *a: None)
+    seen = {}
+
+    def record(where, name, plan):
+        def called(*args, **kwargs):
+            bound = inspect.signature(plan).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            return {"results": {}}
+
+        monkeypatch.setattr(where, name, called)
+
+    record(studies, "run_time_task", run_time_task)
+    record(studies, "run_job", job.run_job)
+    for name in ("seed_stability", "time_weather_ablation", "capacity_segments"):
+        record(plans, name, getattr(plans, name))
+    return seen
+
+
+def whole(training, names=tuple(model.PRESETS)):
+    return training.models[:len(names)] == names and all(training.params_of(n) == model.PRESETS[n] for n in names)
+
+
+def test_time_task_trains_whole_presets(spark, asked):
+    REGISTRY["x02_time_task"].build(spark, "")
+    assert whole(asked["training"])
