@@ -77,3 +77,8 @@ def whole(training, names=tuple(model.PRESETS)):
 def test_time_task_trains_whole_presets(spark, asked):
     REGISTRY["x02_time_task"].build(spark, "")
     assert whole(asked["training"])
+
+
+def test_seed_stability_trains_whole_presets(spark, asked):
+    REGISTRY["x05_seed_stability"].build(spark, "")
+    assert whole(asked["training"]) and asked["source"].settings.stability_seeds == DEFAULTS.stability_seeds
