@@ -82,3 +82,8 @@ def test_time_task_trains_whole_presets(spark, asked):
 def test_seed_stability_trains_whole_presets(spark, asked):
     REGISTRY["x05_seed_stability"].build(spark, "")
     assert whole(asked["training"]) and asked["source"].settings.stability_seeds == DEFAULTS.stability_seeds
+
+
+def test_time_weather_ablation_trains_the_whole_first_preset(spark, asked):
+    REGISTRY["x07_time_weather_ablation"].build(spark, "")
+    assert whole(asked["training"], ("balanced",))
