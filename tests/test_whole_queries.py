@@ -87,3 +87,9 @@ def test_seed_stability_trains_whole_presets(spark, asked):
 def test_time_weather_ablation_trains_the_whole_first_preset(spark, asked):
     REGISTRY["x07_time_weather_ablation"].build(spark, "")
     assert whole(asked["training"], ("balanced",))
+
+
+def test_capacity_segments_run_all_tasks_presets_and_folds(spark, asked):
+    REGISTRY["x08_capacity_segments"].build(spark, "")
+    assert whole(asked["training"]) and asked["tasks"] == "ABC" and asked["with_baselines"]
+    assert asked["source"].settings.folds == DEFAULTS.folds
