@@ -93,3 +93,10 @@ def test_capacity_segments_run_all_tasks_presets_and_folds(spark, asked):
     REGISTRY["x08_capacity_segments"].build(spark, "")
     assert whole(asked["training"]) and asked["tasks"] == "ABC" and asked["with_baselines"]
     assert asked["source"].settings.folds == DEFAULTS.folds
+
+
+def test_the_full_job_leaves_nothing_out(spark, asked):
+    REGISTRY["x14_full_job"].build(spark, "")
+    assert whole(asked["training"]) and asked["tasks"] == "ABC" and asked["with_segments"] and asked["with_baselines"]
+    assert asked["settings"].folds == DEFAULTS.folds and asked["settings"].stability_seeds == DEFAULTS.stability_seeds
+    assert "humidity" in asked["readings"].columns
