@@ -126,6 +126,7 @@ def test_hard_tables(spark):
     TreeSettings(rounds=12, step=0.2, depth=0, leaves=31, least_rows=4, l2=0.1, patience=5)], ids=["levels", "leaves"])
 def test_a_fit_in_one_task_equals_the_passes(data, monkeypatch, s):
     df = data[3]
+    monkeypatch.setattr(boosting, "FEW_ROUNDS", 0)
     one = boosting.fit_trees(df, COLUMNS, "y", F.col("held"), s, seed=3, keys=["id"])
     monkeypatch.setattr(boosting, "TASK_BYTES", 0)
     passes = boosting.fit_trees(df.repartition(3), COLUMNS, "y", F.col("held"), s, seed=3, keys=["id"])
